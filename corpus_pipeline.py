@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossaria.llm import decontam, langid, piece_lattice, quality, simhash
-from glossaria.llm.common import fresh, materialise
+from glossaria.llm.common import materialise
 from glossaria.llm.queries import tokenizer_path
 
 #: A language is rejected if its calibrated probability is lower, a text if its quality is.
@@ -21,6 +21,11 @@ MIN_LANGUAGE, MIN_QUALITY = 0.5, 0.5
 BROADCAST_IDS = 500_000
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows as one column beside their text, so that no other name can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``drop``, whose size decides how they are joined."""
     drop = materialise(drop.select(F.col("doc_id").alias("dropped_id")).distinct(), "drop")
@@ -31,15 +36,15 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts of a language that the model knows; its score must reach ``MIN_LANGUAGE``."""
     model = langid.train(docs, langid.not_held_out())
-    judged = langid.identify(docs.withColumn(fresh(docs, "text"), F.col("text")), model, docs.columns)
-    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select(*docs.columns)
+    judged = langid.identify(_whole(docs), model, ["row"])
+    return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE)).select("row.*")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that the quality model scores ``MIN_QUALITY`` or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, quality.not_held_out("id"))
-    return quality.score(docs, model, docs.columns).filter(F.col("score") >= MIN_QUALITY).select(*docs.columns)
+    return quality.score(_whole(docs), model, ["row"]).filter(F.col("score") >= MIN_QUALITY).select("row.*")
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
