@@ -91,9 +91,9 @@ WITH d AS (
   FROM documents),
 c AS (
   SELECT doc_id, stratum, k, CAST(strlen(t) + 16 AS BIGINT) AS size,
-         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, 2 * strlen(t)), i ->
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, 2 * strlen(t)), lambda i:
            CAST(strpos('0123456789ABCDEF', h[1 + i + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END]) - 1 AS BIGINT))),
-           (s, n) -> xor(s >> 4, CAST({_CRC_STEPS}[1 + (xor(s, n) & 15)] AS BIGINT))), CAST(4294967295 AS BIGINT)) AS text_crc32
+           lambda s, n: xor(s >> 4, CAST({_CRC_STEPS}[1 + (xor(s, n) & 15)] AS BIGINT))), CAST(4294967295 AS BIGINT)) AS text_crc32
   FROM (SELECT *, hex(encode(t)) AS h FROM d)),
 r AS (
   SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY k, doc_id NULLS FIRST, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS f
@@ -112,10 +112,10 @@ b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
 win AS (
   SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS x
   FROM (SELECT item_id, w[i : i + least(10, len(w)) - 1] AS x FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0))),
-at AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+spot AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 hit AS (
   SELECT r, i, n, item_id
-  FROM (SELECT r, i, z.n, array_to_string(w[i : i + z.n - 1], ' ') AS x FROM at, (SELECT DISTINCT n FROM win) z WHERE i + z.n - 1 <= len(w)) a
+  FROM (SELECT r, i, z.n, array_to_string(w[i : i + z.n - 1], ' ') AS x FROM spot, (SELECT DISTINCT n FROM win) z WHERE i + z.n - 1 <= len(w)) a
   JOIN win USING (n, x)),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
 g AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY r)
