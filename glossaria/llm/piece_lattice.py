@@ -42,7 +42,7 @@ SPACE = "▁"
 CHUNK_CHARS, BLOCK = 24_000_000, 256
 #: Units kept for all chunks, and rows, picked by a hash, among which they are counted.
 #: They spare work and change no result: what they lack goes through its chunk's lattice.
-HOT_UNITS, HOT_ROWS = 250_000, 20_000
+HOT_UNITS, HOT_ROWS = 300_000, 30_000
 #: Entries that a piece table may have to be broadcast; beyond, the join may choose.
 BROADCAST_PIECES = 1_000_000
 
@@ -151,12 +151,11 @@ def _cut_task(path: str, keep: T.StructType, hot):
     def run(batches):
         pieces = load_pieces(path)
         find = pieces.units.findall
-        known = hot.value.index
-        index = known.copy()
+        index, n_hot = hot.value.index, len(hot.value.ends) - 1
         held, docs, size = [], [], 0
 
         def flush():
-            units = list(islice(index, len(known), None))
+            units = list(islice(index, n_hot, None))
             for at in range(0, len(units), 2000):
                 some = units[at : at + 2000]
                 n = len(some)
@@ -168,6 +167,8 @@ def _cut_task(path: str, keep: T.StructType, hot):
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), *columns, pa.array(refs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names)
             held.clear()
             docs.clear()
+            for unit in units:
+                del index[unit]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -181,20 +182,25 @@ def _cut_task(path: str, keep: T.StructType, hot):
                 held.append((part.columns[:-1], part.num_rows))
                 if size >= CHUNK_CHARS:
                     yield from flush()
-                    index, size = known.copy(), 0
+                    size = 0
         yield from flush()
 
     return run
 
 
-_EDGE = pa.struct([("len", pa.int32()), ("w", pa.float64()), ("id", pa.int32())])
+#: An edge: where its start's score is in the fold's array, its weight, its piece and length as one number.
+_EDGE = pa.struct([("at", pa.int32()), ("w", pa.float64()), ("code", pa.int32())])
+#: code = length * 2**24 + id + 2**22, so that of equal scores the longer piece is the maximum.
+_LENGTH, _ZERO = 24, 1 << 22
 
 
-def _grouped(no, start, length, ident, weight):
+def _grouped(no, start, length, ident, weight, longest):
     """Units' numbers, and for each unit blocks of positions of edges that end there."""
     end = start.astype(np.int64) + length
     order = np.argsort(no.astype(np.int64) << 38 | end << 6 | length, kind="stable")
-    no, end = no[order], end[order]
+    no, end, start, length = no[order], end[order], start[order], length[order]
+    at = start - (end - 1) // BLOCK * BLOCK + longest - 1
+    code = (length.astype(np.int64) << _LENGTH) + ident[order] + _ZERO
     new_unit = np.concatenate([[True], no[1:] != no[:-1]])
     new_end = new_unit | np.concatenate([[True], end[1:] != end[:-1]])
     ends = np.flatnonzero(new_end)
@@ -202,13 +208,13 @@ def _grouped(no, start, length, ident, weight):
     n_ends = np.diff(np.append(first, len(ends)))
     blocks = (n_ends + BLOCK - 1) // BLOCK
     block_at = np.concatenate([f + np.arange(0, n, BLOCK) for f, n in zip(first, n_ends, strict=True)]) if (blocks > 1).any() else first
-    edges = pa.StructArray.from_arrays([pa.array(length[order], pa.int32()), pa.array(weight[order], pa.float64()), pa.array(ident[order], pa.int32())], fields=list(_EDGE))
+    edges = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(weight[order], pa.float64()), pa.array(code, pa.int32())], fields=list(_EDGE))
     level = pa.ListArray.from_arrays(pa.array(np.append(ends, len(no)), pa.int32()), edges)
     level = pa.ListArray.from_arrays(pa.array(np.append(block_at, len(ends)), pa.int32()), level)
     return no[ends[first]], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(blocks)]), pa.int32()), level)
 
 
-def _group_task(batches):
+def _group_task(batches, longest: int):
     """Joined substrings, in order, to one row a unit: edges by end position, in blocks."""
     held: list[tuple] = []
 
@@ -219,7 +225,7 @@ def _group_task(batches):
         if cut < len(columns[0]):
             held.append(tuple(c[cut:] for c in columns))
         if cut:
-            no, lists = _grouped(*(c[:cut] for c in columns))
+            no, lists = _grouped(*(c[:cut] for c in columns), longest)
             n = len(no)
             yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(no, pa.int32()), lists, *[pa.nulls(n, f.type) for f in schema]], ["kind", "no", "blocks", *[f.name for f in schema]])
 
@@ -247,23 +253,25 @@ def _group_task(batches):
 
 def _last_pieces(numbers: pa.Array, lists: pa.Array, pieces: Pieces):
     """(number, ids) of units, back from the last piece of each position."""
-    codes, ends = lists.flatten().to_pylist(), np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()])).tolist()
+    codes = lists.flatten().to_numpy()
+    steps, ids = (codes >> _LENGTH).tolist(), ((codes & (1 << _LENGTH) - 1) - _ZERO).tolist()
+    ends = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()])).tolist()
     for no, x, at in zip(numbers.to_pylist(), ends, ends[1:]):
         own = []
         while at > x:
-            code = codes[at - 1]
-            at -= code & 63
-            if code >= 0:
-                own.append(code >> 6)
+            i = ids[at - 1]
+            at -= steps[at - 1]
+            if i >= 0:
+                own.append(i)
             else:
-                own += reversed(pieces.of_character(-1 - (code >> 6)))
+                own += reversed(pieces.of_character(-1 - i))
         own.reverse()
         yield no, own
 
 
-def _join_task(path: str, keep: T.StructType, hot):
-    """Units' last pieces to ids, and documents' references to ids."""
-    names = [*keep.fieldNames(), "ids", "n_bytes", "crc"]
+def _join_task(path: str, keep: T.StructType, hot, finish):
+    """Units' last pieces to ids, documents' references to ids, and what ``finish`` makes of them."""
+    names = [*keep.fieldNames(), *finish.names]
 
     def run(batches):
         pieces = load_pieces(path)
@@ -297,40 +305,55 @@ def _join_task(path: str, keep: T.StructType, hot):
                     starts, n = stops[refs], stops[refs + 1] - stops[refs]
                     total = int(n.sum())
                     out.append(values[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)] if total else np.zeros(0, np.int32))
-                offsets = np.concatenate([[0], np.cumsum([len(o) for o in out])])
-                flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*[part.column(3 + i) for i in range(n_keep)], pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32())), part.column(4 + n_keep), part.column(5 + n_keep)], names)
+                columns = finish.make(pieces, out, part.column(4 + n_keep), part.column(5 + n_keep))
+                yield pa.RecordBatch.from_arrays([*[part.column(3 + i) for i in range(n_keep)], *columns], names)
 
     return run
 
 
 def fold_viterbi(blocks, longest: int):
-    """The last piece (id * 64 + length) of the best path to each position.
+    """For each position of a unit the code of the last piece of the best path to it.
 
-    The state has the best scores of the last ``longest`` positions, the latest first.
-    Blocks keep the arrays that grow short, so long units stay near-linear.
+    The inner fold appends each position's best (score, code) to an array that begins
+    with those of the ``longest`` positions before its block; the outer one appends the
+    blocks' arrays. So arrays stay short, and long units near-linear.
     """
-    ints, nested = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    none = F.struct(F.lit(float("-inf")).alias("w"), F.lit(0).alias("code"))
+    seed = F.array(*[none] * (longest - 1), F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("code")))
 
-    def best(acc, ends):
-        return F.array_max(F.transform(ends, lambda e: F.struct((F.get(acc["s"], e["len"] - 1) + e["w"]).alias("w"), e["len"].alias("len"), e["id"].alias("id"))))
+    def position(acc, ends):
+        return F.array_append(acc, F.array_max(F.transform(ends, lambda e: F.struct((F.get(acc, e["at"])["w"] + e["w"]).alias("w"), e["code"].alias("code")))))
 
-    def step(acc, ends):
-        # a one-element array, so that the maximum is computed once and used twice
-        return F.element_at(
-            F.transform(
-                F.array(best(acc, ends)),
-                lambda b: F.struct(F.slice(F.concat(F.array(b["w"]), acc["s"]), 1, longest).alias("s"), F.concat(acc["back"], F.array((b["id"] * 64 + b["len"]).cast("int"))).alias("back")),
-            ),
-            1,
-        )
+    def block(done, ends):
+        return F.array_append(done, F.aggregate(ends, F.slice(F.element_at(done, -1), -longest, longest), position))
 
-    def block_step(whole, block):
-        inner = F.aggregate(block, F.struct(whole["s"].alias("s"), ints.alias("back")), step)
-        return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["s"].alias("s"), F.concat(whole["back"], F.array(x["back"])).alias("back"))), 1)
+    whole = F.aggregate(blocks, F.array(seed), block)
+    return F.flatten(F.transform(whole, lambda b: F.slice(b, longest + 1, BLOCK)))["code"]
 
-    start = F.struct(F.array(F.lit(0.0)).alias("s"), nested.alias("back"))
-    return F.aggregate(blocks, start, block_step, lambda acc: F.flatten(acc["back"]))
+
+class AllIds:
+    """The ids themselves."""
+
+    schema, names = "ids array<int>, n_bytes long, crc long", ("ids", "n_bytes", "crc")
+
+    @staticmethod
+    def make(pieces: Pieces, ids: list[np.ndarray], n_bytes: pa.Array, crc: pa.Array) -> list[pa.Array]:
+        offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32())), n_bytes, crc]
+
+
+class Digest:
+    """Counts and checksums of the ids and of the text that they decode to."""
+
+    schema = "n_bytes long, n_pieces long, ids_crc32 long, decoded_bytes long, text_crc32 long, lossless boolean"
+    names = ("n_bytes", "n_pieces", "ids_crc32", "decoded_bytes", "text_crc32", "lossless")
+
+    @staticmethod
+    def make(pieces: Pieces, ids: list[np.ndarray], n_bytes: pa.Array, crc: pa.Array) -> list[pa.Array]:
+        back = [pieces.decode(i.tolist()).encode("utf-8", "replace") for i in ids]
+        crcs = pa.array([zlib.crc32(i.astype("<i4").tobytes()) for i in ids], pa.int64())
+        same = [len(b) == n and zlib.crc32(b) == c for b, n, c in zip(back, n_bytes.to_pylist(), crc.to_pylist(), strict=True)]
+        return [n_bytes, pa.array([len(i) for i in ids], pa.int64()), crcs, pa.array([len(b) for b in back], pa.int64()), crc, pa.array(same, pa.bool_())]
 
 
 @dataclass
@@ -353,8 +376,8 @@ def _lattice(cut: DataFrame, pieces: Pieces, passed: T.StructType) -> DataFrame:
         raise ValueError(f"{len(pieces.usable)} pieces; the piece table is broadcast up to {BROADCAST_PIECES}")
     edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("kind = 1 or len = 1 or id is not null")
     edges = edges.select("kind", "no", "start", "len", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("w"), *names)
-    edge = "array<array<array<struct<len: int, w: double, id: int>>>>"
-    grouped = edges.mapInArrow(_group_task, T.StructType(list(ddl(f"kind int, no int, blocks {edge}").fields) + list(passed.fields)))
+    edge, longest = "array<array<array<struct<at: int, w: double, code: int>>>>", pieces.longest
+    grouped = edges.mapInArrow(lambda batches: _group_task(batches, longest), T.StructType(list(ddl(f"kind int, no int, blocks {edge}").fields) + list(passed.fields)))
     return grouped.select("kind", "no", fold_viterbi(F.col("blocks"), pieces.longest).alias("back"), *names)
 
 
@@ -401,7 +424,7 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
     return HotUnits({u: i for i, u in enumerate(chosen)}, np.array(ids, np.int32), np.array(ends, np.int64))
 
 
-def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text") -> DataFrame:
+def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text", finish=AllIds) -> DataFrame:
     """The columns ``keep``, ``ids`` (piece ids of the whole text, in order), ``n_bytes`` and
     ``crc`` (of the text's UTF-8) for each row of ``df``.
 
@@ -410,6 +433,7 @@ def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text") -
     or, without such pieces, the unknown piece. Ties go to the longer last piece.
     Repeated rows give equal rows; an empty table gives an empty table. Texts are read
     once, and a bounded sample of them before, for the units kept for all chunks.
+    ``finish`` may reduce the ids where they are made, as :class:`Digest` does.
     """
     pieces = load_pieces(model)
     own = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)])
@@ -417,8 +441,8 @@ def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text") -
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     passed = T.StructType(list(own.fields) + list(ddl(_PASS).fields))
     cut = source.mapInArrow(_cut_task(model, own, hot), T.StructType(list(ddl("kind int, no int, windows array<string>").fields) + list(passed.fields)))
-    out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, hot), T.StructType(list(own.fields) + list(ddl("ids array<int>, n_bytes long, crc long").fields)))
-    return out.toDF(*keep, "ids", "n_bytes", "crc")
+    out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, hot, finish), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
+    return out.toDF(*keep, *finish.names)
 
 
 def decode(df: DataFrame, model: str, keep: list[str], ids_col: str = "ids") -> DataFrame:
@@ -434,18 +458,4 @@ def decode(df: DataFrame, model: str, keep: list[str], ids_col: str = "ids") ->
 def encoding_digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_bytes``, ``n_pieces``, ``ids_crc32``, ``decoded_bytes``, ``text_crc32`` and
     ``lossless`` (the decoded text equals the text) for each row of ``df``."""
-    coded = encode(df, model, [id_col], text_col)
-
-    def factory():
-        pieces = load_pieces(model)
-
-        def fn(rows, sizes, crcs):
-            out = []
-            for ids, n, crc in zip(rows, sizes, crcs, strict=True):
-                data = pieces.decode(ids).encode("utf-8", "replace")
-                out.append((n, len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()), len(data), crc, len(data) == n and zlib.crc32(data) == crc))
-            return list(zip(*out, strict=True))
-
-        return fn
-
-    return map_rows(coded, [id_col], ["ids", "n_bytes", "crc"], "size long, n_pieces long, ids_crc32 long, decoded_bytes long, text_crc32 long, lossless boolean", factory, rows=64).withColumnRenamed("size", "n_bytes")
+    return encode(df, model, [id_col], text_col, Digest)
