@@ -1,4 +1,256 @@
-"""Queries that run the catalog operators over the driver's tables."""
+"""Queries that run the catalog operators over the driver's tables, and the same in SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Relations of a catalog are derived from the tables: parts become keys in code and in
+store, documents become messages of the locale that is their language, customers become
+dashed keys. Two queries render Python or Fluent text from rows and read it back with
+the real scanner or parser, while their SQL computes the rows without either.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fluent
+from .functions import text as text_functions
+from .functions.pyscan import ScanOptions
+from .operators import closure, keys, reconcile, stub
+from .operators import untranslated as report
+from .sources.stored import code_calls, entry_rows
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _arguments(c: str):
+    return F.when(F.col(c) % 3 == 0, F.array().cast("array<string>")).when(F.col(c) % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").withColumn("key", F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))).withColumn("locale", F.lit("en"))
+    file = F.concat("p_brand", F.lit(".ftl"))
+    code = part.filter("p_partkey % 10 <> 0").select("locale", "key", file.alias("ftl_path"), _arguments("p_size").alias("kwargs"))
+    old = F.when(F.col("p_partkey") % 11 == 0, "old.ftl").otherwise(file)
+    stored = part.filter("p_partkey % 7 <> 0").select("locale", "key", old.alias("ftl_path"), F.when(F.col("p_partkey") % 5 == 1, F.array(F.lit("z"))).otherwise(_arguments("p_size")).alias("kwargs"))
+    return code, stored
+
+
+_SIDES = """
+WITH code AS (SELECT concat('part-', CAST(p_partkey AS VARCHAR)) AS k, concat(p_brand, '.ftl') AS path,
+       CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END AS kw FROM part WHERE p_partkey % 10 <> 0),
+ stored AS (SELECT concat('part-', CAST(p_partkey AS VARCHAR)) AS k,
+       CASE WHEN p_partkey % 11 = 0 THEN 'old.ftl' ELSE concat(p_brand, '.ftl') END AS path,
+       CASE WHEN p_partkey % 5 = 1 THEN 'z' ELSE CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END END AS kw
+       FROM part WHERE p_partkey % 7 <> 0),
+ st AS (SELECT coalesce(c.k, s.k) AS k, c.path AS code_path, s.path AS stored_path, CASE WHEN s.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'obsolete'
+       WHEN c.path <> s.path THEN 'moved' WHEN c.kw <> s.kw THEN 'kwargs_changed' ELSE 'unchanged' END AS status
+   FROM code c FULL OUTER JOIN stored s ON c.k = s.k)
+"""
+
+
+@query(_SIDES + "SELECT status, count(*) AS n FROM st GROUP BY status")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.statuses(*_sides(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SIDES + "SELECT k AS key, status, code_path AS code_file, stored_path AS stored_file FROM st")
+def reconcile_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.statuses(*_sides(spark, sf_dir)).select("key", "status", "code_file", "stored_file")
+
+
+@query(
+    _SIDES
+    + """SELECT 'en' AS locale, count(*) FILTER (status = 'added') AS added, count(*) FILTER (status IN ('moved', 'kwargs_changed')) AS updated,
+  count(*) FILTER (status IN ('moved', 'kwargs_changed', 'obsolete')) AS commented, count(*) FILTER (status = 'unchanged') AS unchanged, CAST(0 AS BIGINT) AS retained FROM st"""
+)
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.statistics(reconcile.statuses(*_sides(spark, sf_dir)))
+
+
+_MESSAGES = """
+WITH m AS (SELECT lang AS locale, concat(source, '.ftl') AS file_path, doc_id, concat('m-', CAST(doc_id % 200 AS VARCHAR)) AS k,
+       CASE WHEN doc_id % 3 = 0 AND lang <> 'de' THEN concat('m-', CAST(doc_id % 200 AS VARCHAR)) ELSE trim(split_part(text, chr(10), 1)) END AS v FROM documents)
+"""
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("m-"), (F.col("doc_id") % 200).cast("string"))
+    value = F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") != "de"), key).otherwise(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
+    return _table(spark, sf_dir, "documents").select(F.col("lang").alias("locale"), F.concat("source", F.lit(".ftl")).alias("file_path"), key.alias("key"), value.alias("value"), F.col("doc_id").alias("line"), F.lit(False).alias("ignore_untranslated"), F.lit(0).alias("scan"))
+
+
+@query(
+    _MESSAGES
+    + """, sug AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY file_path, doc_id) AS rn FROM m WHERE locale = 'es' AND v <> k AND v <> '')
+SELECT m.locale, m.file_path, m.k AS key, m.doc_id AS line, s.v AS suggestion FROM m LEFT JOIN sug s ON m.k = s.k AND s.rn = 1 WHERE m.v = m.k"""
+)
+def untranslated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    found = report.untranslated(m, m, spark.createDataFrame([("es", 0)], "locale string, rank int"))
+    return found.select("locale", "file_path", "key", "line", F.try_element_at("suggestions", F.lit(1))["value"].alias("suggestion"))
+
+
+@query(
+    _MESSAGES
+    + """, r AS (SELECT * FROM (VALUES ('fr', 0), ('es', 1), ('de', 2)) t(locale, rank)),
+f AS (SELECT k, locale, rank, v, row_number() OVER (PARTITION BY k, locale ORDER BY file_path, doc_id) AS rn FROM m JOIN r USING (locale) WHERE v <> k AND v <> ''),
+s AS (SELECT k, string_agg(locale || '=' || v, '|' ORDER BY rank) AS suggestions FROM f WHERE rn = 1 GROUP BY k)
+SELECT m.doc_id AS line, coalesce(s.suggestions, '') AS suggestions FROM m LEFT JOIN s USING (k) WHERE m.v = m.k"""
+)
+def suggestion_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    ranks = spark.createDataFrame([("fr", 0), ("es", 1), ("de", 2)], "locale string, rank int")
+    shown = F.array_join(F.transform("suggestions", lambda s: F.concat_ws("=", s["locale"], s["value"])), "|")
+    return report.untranslated(m, m, ranks).select("line", shown.alias("suggestions"))
+
+
+@query(_MESSAGES + "SELECT DISTINCT locale FROM m WHERE locale NOT IN (SELECT locale FROM m WHERE v = k)")
+def fully_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _messages(spark, sf_dir)
+    return report.fully_translated(m.select("locale").distinct(), report.placeholders(m))
+
+
+@query(_MESSAGES + "SELECT locale, doc_id AS line, CAST(row_number() OVER (PARTITION BY locale ORDER BY file_path, k, doc_id) AS INTEGER) AS number FROM m WHERE v = k")
+def report_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.numbered(report.placeholders(_messages(spark, sf_dir))).select("locale", "line", "number")
+
+
+@query(_MESSAGES + "SELECT locale, count(*) AS n FROM m WHERE v = k GROUP BY locale")
+def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.counts(report.placeholders(_messages(spark, sf_dir)))
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS key, count(DISTINCT o_orderpriority) AS n_paths, count(DISTINCT o_orderstatus) AS n_messages, count(*) AS n_calls,
+  CASE WHEN count(DISTINCT o_orderpriority) > 1 THEN 'path' ELSE 'message' END AS reason
+FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1 OR count(DISTINCT o_orderstatus) > 1""")
+def key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    calls = orders.select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("ftl_path"), F.array("o_orderstatus").alias("kwargs"), F.lit("orders.py").alias("code_path"), F.col("o_orderkey").alias("ordinal"))
+    return keys.conflicts(keys.merge_calls(calls))
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS key, arg_min(o_orderpriority, o_orderkey) AS ftl_path, count(*) AS n_calls FROM orders GROUP BY o_custkey")
+def merged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    calls = orders.select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("ftl_path"), F.array("o_orderstatus").alias("kwargs"), F.lit("orders.py").alias("code_path"), F.col("o_orderkey").alias("ordinal"))
+    return keys.merge_calls(calls).select("key", "ftl_path", "n_calls")
+
+
+@query("""WITH RECURSIVE e AS (SELECT concat('n', n_nationkey) AS src, concat('r', n_regionkey) AS dst FROM nation UNION ALL SELECT concat('r', r_regionkey), concat('r', r_regionkey - 1) FROM region WHERE r_regionkey > 2),
+c(source, node) AS (SELECT src, dst FROM e WHERE src LIKE 'n%' UNION SELECT c.source, e.dst FROM c JOIN e ON c.node = e.src)
+SELECT source, node FROM c""")
+def closure_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    edges = nation.select(name("n", F.col("n_nationkey")).alias("src"), name("r", F.col("n_regionkey")).alias("dst")).union(region.filter("r_regionkey > 2").select(name("r", F.col("r_regionkey")), name("r", F.col("r_regionkey") - 1)))
+    return closure.reachable(edges, nation.select(name("n", F.col("n_nationkey")).alias("source")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 20 AS src, (3 * c_custkey + 1) % 20 AS dst FROM customer),
+c(source, node) AS (SELECT src, dst FROM e WHERE src IN (SELECT c_custkey % 20 FROM customer WHERE c_nationkey < 3) UNION SELECT c.source, e.dst FROM c JOIN e ON c.node = e.src)
+SELECT source, node FROM c""")
+def closure_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = _table(spark, sf_dir, "customer")
+    edges = customer.select((F.col("c_custkey") % 20).alias("src"), ((3 * F.col("c_custkey") + 1) % 20).alias("dst"))
+    return closure.reachable(edges, customer.filter("c_nationkey < 3").select((F.col("c_custkey") % 20).alias("source")))
+
+
+_TREE_KEYS = "SELECT concat(lower(c_mktsegment), '-', CAST(c_nationkey AS VARCHAR), '-', CAST(c_custkey AS VARCHAR)) AS key FROM customer UNION ALL SELECT DISTINCT concat(lower(c_mktsegment), '-', CAST(c_nationkey AS VARCHAR)) FROM customer WHERE c_nationkey < 5"
+
+
+@query(f"""WITH k AS ({_TREE_KEYS}), p AS (SELECT string_split(key, '-') AS parts, key FROM k),
+n AS (SELECT array_to_string(parts[1:i], '-') AS path, len(parts) = i AS ends, i FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS i FROM p))
+SELECT path, CAST(max(i) AS INTEGER) AS depth, bool_or(ends) AS has_meta, bool_or(NOT ends) AS has_children FROM n GROUP BY path""")
+def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    full = F.concat_ws("-", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
+    short = F.concat_ws("-", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"))
+    messages = c.select(full.alias("key")).union(c.filter("c_nationkey < 5").select(short).distinct()).withColumns({"args": F.array().cast("array<string>"), "translation": F.col("key")})
+    return stub.prefix_tree(messages).select(F.array_join("path", "-").alias("path"), "depth", "has_meta", "has_children")
+
+
+@query("SELECT doc_id, md5(replace(replace(text, chr(13), ''), chr(10), chr(13) || chr(10))) AS crlf, md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS lf FROM documents")
+def line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = lambda mode: F.md5(text_functions.line_endings(F.col("text"), mode).cast("binary"))
+    return _table(spark, sf_dir, "documents").select("doc_id", hashed("crlf").alias("crlf"), hashed("lf").alias("lf"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '\\', '\\\\'), chr(39), '\\' || chr(39)), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')) AS escaped FROM documents")
+def literal_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text_functions.literal_escape(F.col("text")).cast("binary")).alias("escaped"))
+
+
+@query("""SELECT p_partkey, list_aggregate(list_transform(list_filter(string_split(replace(p_name, ' ', '_'), '_'), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), 'string_agg', '') AS class_name FROM part""")
+def pascal_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", text_functions.pascal_case(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("class_name"))
+
+
+@query("""SELECT concat('src/', p_partkey // 50, '.py') AS code_path, concat('part-', CAST(p_partkey AS VARCHAR)) AS key,
+  CASE WHEN p_partkey % 4 = 0 THEN concat(lower(replace(p_brand, '#', '_')), '/_default.ftl') ELSE '_default.ftl' END AS ftl_path,
+  CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'size' ELSE 'size,price' END AS kwargs FROM part WHERE p_partkey % 5 <> 0""")
+def scan_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source text is made of rows, fifty to a file, and scanned; every fifth call has a key that isn't literal."""
+    part = _table(spark, sf_dir, "part")
+    args = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, ", size=1").otherwise(", size=1, price=x.y")
+    path = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(', _path="'), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit('"'))).otherwise("")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.lit("name")).otherwise(F.concat(F.lit('"part-'), F.col("p_partkey").cast("string"), F.lit('"')))
+    call = F.when(F.col("p_partkey") % 2 == 0, "L(").otherwise("i18n.get(")
+    lines = part.select(F.expr("concat('src/', p_partkey div 50, '.py')").alias("path"), "p_partkey", F.concat(call, name, args, path, F.lit(")\n")).alias("line"))
+    files = lines.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "").cast("binary").alias("content")).withColumn("size", F.length("content"))
+    return code_calls(files, ScanOptions()).select("code_path", "key", "ftl_path", F.array_join("kwargs", ",").alias("kwargs"))
+
+
+@query("""SELECT concat('part-', CAST(p_partkey AS VARCHAR)) AS key, 'message' AS kind, CAST(row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1 AS INTEGER) AS position,
+  CASE WHEN p_size % 3 = 0 THEN p_name END AS text, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'n' END AS vars, p_size % 4 = 0 AS ignored FROM part""")
+def ftl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fluent text is made of rows, parsed, serialized and parsed again."""
+    part = _table(spark, sf_dir, "part")
+    value = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit(" { $a }"))).otherwise(F.concat(F.lit("\n    { $n ->\n        [one] "), F.col("p_name"), F.lit("\n       *[other] { $n } pieces\n    }")))
+    line = F.concat(F.when(F.col("p_size") % 4 == 0, "# ignore\n").otherwise(""), F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(" = "), value, F.lit("\n"))
+    files = part.select(F.expr("p_partkey div 50").alias("file"), "p_partkey", line.alias("line")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "").alias("content"))
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for content in frame["content"]:
+                again = fluent.serialize(fluent.parse(content, strict=True))
+                rows += [(r[5], r[4], r[3], r[6], ",".join(r[11]), r[8]) for r in entry_rows("en", "x", "x", again.encode())]
+            yield pd.DataFrame(rows, columns=["key", "kind", "position", "text", "vars", "ignored"])
+
+    return files.select("content").mapInPandas(run, "key string, kind string, position int, text string, vars string, ignored boolean")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 7 = 0 OR doc_id % 5 = 0 AS parse FROM documents WHERE doc_id % 11 <> 0""")
+def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: some are new, some have another size than in the state, some are gone."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
+    state = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), F.array().cast("array<struct<ordinal: int, key: string, ftl_path: string, kwargs: array<string>>>").alias("calls"))
+    changed, kept = incremental.split_files(files, state)
+    return changed.select("path", F.lit(True).alias("parse")).union(kept.select("path", F.lit(False)))
+
+
+@query("""SELECT s.s_nationkey AS locale, c.c_custkey AS key FROM customer c JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c.c_nationkey <> s.s_nationkey WHERE s.s_nationkey < 3""")
+def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a locale lacks: the keys of every locale, less what is there."""
+    wanted = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("own"))
+    locales = _table(spark, sf_dir, "supplier").filter("s_nationkey < 3").select(F.col("s_nationkey").alias("locale")).distinct()
+    each = wanted.withColumn("locale", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(F.broadcast(locales), "locale", "left_semi")
+    return each.join(wanted.select("key", F.col("own").alias("locale")), ["key", "locale"], "left_anti").select("locale", "key")
