@@ -61,7 +61,7 @@ class ShingleIndex:
         own = words(text)
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
-        found = [self.lookup(ids, k) for k in self.codes]
+        found = [self.lookup(ids, k) for k in self.codes] or [(np.zeros(0, np.int64),) * 2]
         return len(own), np.concatenate([p for p, _ in found]).tolist(), np.concatenate([s for _, s in found]).tolist()
 
 
