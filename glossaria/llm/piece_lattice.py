@@ -21,7 +21,9 @@ task is computed again from its input split alone.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,7 +41,7 @@ from .common import ddl, map_rows
 
 SPACE = "▁"
 #: Characters of text in a chunk; positions folded in one inner array.
-CHUNK_CHARS, BLOCK = 24_000_000, 256
+CHUNK_CHARS, BLOCK = 32_000_000, 256
 #: Units kept for all chunks, and rows, picked by a hash, among which they are counted.
 #: They spare work and change no result: what they lack goes through its chunk's lattice.
 HOT_UNITS, HOT_ROWS = 300_000, 30_000
@@ -135,23 +137,26 @@ def load_pieces(path: str) -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    rows = pa.table({"piece": pa.array(list(pieces.usable), pa.string()), "id": pa.array(list(pieces.usable.values()), pa.int32()), "score": pa.array([pieces.scores[i] for i in pieces.usable.values()], pa.float64())})
+    rows = pa.table({"piece": pa.array(list(pieces.usable), pa.string()), "id": pa.array(list(pieces.usable.values()), pa.int32())})
     return spark.createDataFrame(rows)
 
 
-# Rows on the way: kind 0 is a unit (number, windows), kind 1 a document (refs to units).
-_PASS = "refs binary, n_bytes long, crc long"
+# Rows on the way: units have a number from 0 and windows; documents have the number -1 and
+# ``doc``, which is the size and checksum of the text and the numbers of its units.
+_PASS = "doc binary"
+_HEAD, _HEAD_SIZE = "<qq", 16
 
 
 def _cut_task(path: str, keep: T.StructType, hot):
     """Texts to unit rows and document rows, chunk by chunk."""
     arrow = to_arrow_schema(keep)
-    names = ["kind", "no", "windows", *keep.fieldNames(), "refs", "n_bytes", "crc"]
+    names = ["no", "windows", *keep.fieldNames(), "doc"]
 
     def run(batches):
         pieces = load_pieces(path)
         find = pieces.units.findall
-        index, n_hot = hot.value.index, len(hot.value.ends) - 1
+        index = hot.value
+        n_hot = len(index)
         held, docs, size = [], [], 0
 
         def flush():
@@ -159,12 +164,11 @@ def _cut_task(path: str, keep: T.StructType, hot):
             for at in range(0, len(units), 2000):
                 some = units[at : at + 2000]
                 n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(at, at + n), pa.int32()), pa.array([pieces.windows(u) for u in some], pa.list_(pa.string())), *[pa.nulls(n, f.type) for f in arrow], pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int32()), pa.array([pieces.windows(u) for u in some], pa.list_(pa.string())), *[pa.nulls(n, f.type) for f in arrow], pa.nulls(n, pa.binary())], names)
             at = 0
             for columns, n in held:
-                refs, sizes, crcs = zip(*docs[at : at + n], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), *columns, pa.array(docs[at : at + n], pa.binary())], names)
                 at += n
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), *columns, pa.array(refs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], names)
             held.clear()
             docs.clear()
             for unit in units:
@@ -177,7 +181,7 @@ def _cut_task(path: str, keep: T.StructType, hot):
                     data = (text or "").encode("utf-8", "replace")
                     found = find(pieces.normal(text))
                     refs = np.fromiter((index.setdefault(u, len(index)) for u in found), np.int32, len(found))
-                    docs.append((refs.tobytes(), len(data), zlib.crc32(data)))
+                    docs.append(struct.pack(_HEAD, len(data), zlib.crc32(data)) + refs.tobytes())
                     size += len(text or "")
                 held.append((part.columns[:-1], part.num_rows))
                 if size >= CHUNK_CHARS:
@@ -214,7 +218,7 @@ def _grouped(no, start, length, ident, weight, longest):
     return no[ends[first]], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(blocks)]), pa.int32()), level)
 
 
-def _group_task(batches, longest: int):
+def _group_task(batches, longest: int, scores: np.ndarray, unknown_score: float):
     """Joined substrings, in order, to one row a unit: edges by end position, in blocks."""
     held: list[tuple] = []
 
@@ -225,16 +229,18 @@ def _group_task(batches, longest: int):
         if cut < len(columns[0]):
             held.append(tuple(c[cut:] for c in columns))
         if cut:
-            no, lists = _grouped(*(c[:cut] for c in columns), longest)
+            no, at, ident = (c[:cut] for c in columns)
+            weight = np.where(ident >= 0, scores[np.maximum(ident, 0)], unknown_score)
+            no, lists = _grouped(no, at >> 6, at & 63, ident, weight, longest)
             n = len(no)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(no, pa.int32()), lists, *[pa.nulls(n, f.type) for f in schema]], ["kind", "no", "blocks", *[f.name for f in schema]])
+            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), lists, *[pa.nulls(n, f.type) for f in schema]], ["no", "blocks", *[f.name for f in schema]])
 
     passed = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind = batch.column(0).to_numpy()
-        passed = [batch.schema.field(i) for i in range(6, batch.num_columns)]
+        kind = batch.column(0).to_numpy() < 0
+        passed = [batch.schema.field(i) for i in range(3, batch.num_columns)]
         turns = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
         for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
             part = batch.slice(a, b - a)
@@ -242,9 +248,9 @@ def _group_task(batches, longest: int):
                 if held:
                     yield from flush(None, passed)
                 empty = pa.nulls(b - a, pa.list_(pa.list_(pa.list_(_EDGE))))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), empty, *part.columns[6:]], ["kind", "no", "blocks", *[f.name for f in passed]])
+                yield pa.RecordBatch.from_arrays([part.column(0), empty, *part.columns[3:]], ["no", "blocks", *[f.name for f in passed]])
             else:
-                held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)))
+                held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
                 if sum(len(h[0]) for h in held) >= 60_000:
                     yield from flush(int(held[-1][0][-1]), passed)
     if held:
@@ -275,38 +281,39 @@ def _join_task(path: str, keep: T.StructType, hot, finish):
 
     def run(batches):
         pieces = load_pieces(path)
-        base_ids, base_ends = hot.value.ids, hot.value.ends
-        ids: list[int] = []
-        ends: list[int] = [0]
+        base_ids, base_ends = hot.value
+        ids, ends = array("i"), array("q", [0])
         table = None
         n_keep = len(keep)
         for batch in batches:
-            kind = batch.column(0).to_numpy()
+            kind = batch.column(0).to_numpy() < 0
             turns = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]])) if len(kind) else [0]
             for a, b in zip(turns[:-1], turns[1:], strict=True):
                 part = batch.slice(int(a), int(b - a))
                 if not kind[a]:
                     if table is not None:
-                        ids, ends, table = [], [0], None
-                    for no, own in _last_pieces(part.column(1), part.column(2), pieces):
+                        ids, ends, table = array("i"), array("q", [0]), None
+                    for no, own in _last_pieces(part.column(0), part.column(1), pieces):
                         if no != len(ends) - 1:
                             raise RuntimeError("units aren't in their chunk's order")
-                        ids += own
+                        ids.extend(own)
                         ends.append(len(ids))
                     continue
                 if table is None:
                     table = np.concatenate([base_ids, np.array(ids, np.int32)]), np.concatenate([base_ends, np.array(ends[1:], np.int64) + base_ends[-1]])
                 values, stops = table
                 out = []
-                for raw in part.column(3 + n_keep).to_pylist():
-                    refs = np.frombuffer(raw, np.int32)
+                heads = []
+                for raw in part.column(2 + n_keep).to_pylist():
+                    heads.append(struct.unpack_from(_HEAD, raw))
+                    refs = np.frombuffer(raw, np.int32, offset=_HEAD_SIZE)
                     if len(refs) and refs.max() >= len(stops) - 1:
                         raise RuntimeError("a document came before its units")
                     starts, n = stops[refs], stops[refs + 1] - stops[refs]
                     total = int(n.sum())
                     out.append(values[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)] if total else np.zeros(0, np.int32))
-                columns = finish.make(pieces, out, part.column(4 + n_keep), part.column(5 + n_keep))
-                yield pa.RecordBatch.from_arrays([*[part.column(3 + i) for i in range(n_keep)], *columns], names)
+                columns = finish.make(pieces, out, *(pa.array(v, pa.int64()) for v in zip(*heads, strict=True)))
+                yield pa.RecordBatch.from_arrays([*[part.column(2 + i) for i in range(n_keep)], *columns], names)
 
     return run
 
@@ -366,19 +373,19 @@ class HotUnits:
 
 
 def _lattice(cut: DataFrame, pieces: Pieces, passed: T.StructType) -> DataFrame:
-    """(kind, no, back, and the columns ``passed``) of rows (kind, no, windows, and those)."""
+    """(no, back, and the columns ``passed``) of rows (no, windows, and those)."""
     names = passed.fieldNames()
-    starts = cut.select("kind", "no", F.posexplode_outer("windows").alias("start", "window"), *names)
-    subs = starts.select("kind", "no", "start", "window", F.explode_outer(F.sequence(F.lit(1), F.length("window"))).alias("len"), *names)
-    subs = subs.select("kind", "no", "start", "len", F.expr("left(window, len)").alias("sub"), *names)
+    starts = cut.select("no", F.posexplode_outer("windows").alias("start", "window"), *names)
+    subs = starts.select("no", "start", "window", F.explode_outer(F.sequence(F.lit(1), F.length("window"))).alias("len"), *names)
+    subs = subs.select("no", (F.col("start") * 64 + F.col("len")).alias("at"), F.expr("left(window, len)").alias("sub"), *names)
     table = piece_table(cut.sparkSession, pieces)
     if len(pieces.usable) > BROADCAST_PIECES:
         raise ValueError(f"{len(pieces.usable)} pieces; the piece table is broadcast up to {BROADCAST_PIECES}")
-    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("kind = 1 or len = 1 or id is not null")
-    edges = edges.select("kind", "no", "start", "len", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("w"), *names)
-    edge, longest = "array<array<array<struct<at: int, w: double, code: int>>>>", pieces.longest
-    grouped = edges.mapInArrow(lambda batches: _group_task(batches, longest), T.StructType(list(ddl(f"kind int, no int, blocks {edge}").fields) + list(passed.fields)))
-    return grouped.select("kind", "no", fold_viterbi(F.col("blocks"), pieces.longest).alias("back"), *names)
+    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("no < 0 or (at & 63) = 1 or id is not null")
+    edges = edges.select("no", "at", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), *names)
+    edge, longest, scores, unknown = "array<array<array<struct<at: int, w: double, code: int>>>>", pieces.longest, np.array(pieces.scores), pieces.unknown_score
+    grouped = edges.mapInArrow(lambda batches: _group_task(batches, longest, scores, unknown), T.StructType(list(ddl(f"no int, blocks {edge}").fields) + list(passed.fields)))
+    return grouped.select("no", fold_viterbi(F.col("blocks"), pieces.longest).alias("back"), *names)
 
 
 def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HOT_UNITS, rows: int = HOT_ROWS) -> HotUnits:
@@ -410,9 +417,9 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
             numbers = batch.column(0).to_pylist()
             for at in range(0, len(numbers), 2000):
                 some = numbers[at : at + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([windows(shared.value[i]) for i in some], pa.list_(pa.string()))], ["kind", "no", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([windows(shared.value[i]) for i in some], pa.list_(pa.string()))], ["no", "windows"])
 
-    cut = spark.range(0, len(chosen), 1, max(1, len(chosen) // 10_000)).mapInArrow(rows_of, ddl("kind int, no int, windows array<string>"))
+    cut = spark.range(0, len(chosen), 1, max(1, len(chosen) // 10_000)).mapInArrow(rows_of, ddl("no int, windows array<string>"))
     done = _lattice(cut, pieces, T.StructType([])).select("no", "back").toArrow().sort_by("no").combine_chunks()
     ids, ends = [], [0]
     for part in done.to_batches():
@@ -437,11 +444,12 @@ def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text", f
     """
     pieces = load_pieces(model)
     own = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)])
-    hot = df.sparkSession.sparkContext.broadcast(hot_units(df, model, text_col))
+    hot, share = hot_units(df, model, text_col), df.sparkSession.sparkContext.broadcast
+    index, coded = share(hot.index), share((hot.ids, hot.ends))
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     passed = T.StructType(list(own.fields) + list(ddl(_PASS).fields))
-    cut = source.mapInArrow(_cut_task(model, own, hot), T.StructType(list(ddl("kind int, no int, windows array<string>").fields) + list(passed.fields)))
-    out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, hot, finish), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
+    cut = source.mapInArrow(_cut_task(model, own, index), T.StructType(list(ddl("no int, windows array<string>").fields) + list(passed.fields)))
+    out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, coded, finish), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
     return out.toDF(*keep, *finish.names)
 
 
