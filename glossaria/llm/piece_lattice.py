@@ -42,6 +42,8 @@ from .common import ddl, map_rows
 SPACE = "▁"
 #: Characters of text in a chunk; positions folded in one inner array.
 CHUNK_CHARS, BLOCK = 32_000_000, 256
+#: Documents whose ids leave a task at once.
+ROWS = 128
 #: Units kept for all chunks, and rows, picked by a hash, among which they are counted.
 #: They spare work and change no result: what they lack goes through its chunk's lattice.
 HOT_UNITS, HOT_ROWS = 300_000, 30_000
@@ -302,18 +304,18 @@ def _join_task(path: str, keep: T.StructType, hot, finish):
                 if table is None:
                     table = np.concatenate([base_ids, np.array(ids, np.int32)]), np.concatenate([base_ends, np.array(ends[1:], np.int64) + base_ends[-1]])
                 values, stops = table
-                out = []
-                heads = []
-                for raw in part.column(2 + n_keep).to_pylist():
-                    heads.append(struct.unpack_from(_HEAD, raw))
-                    refs = np.frombuffer(raw, np.int32, offset=_HEAD_SIZE)
-                    if len(refs) and refs.max() >= len(stops) - 1:
-                        raise RuntimeError("a document came before its units")
-                    starts, n = stops[refs], stops[refs + 1] - stops[refs]
-                    total = int(n.sum())
-                    out.append(values[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)] if total else np.zeros(0, np.int32))
-                columns = finish.make(pieces, out, *(pa.array(v, pa.int64()) for v in zip(*heads, strict=True)))
-                yield pa.RecordBatch.from_arrays([*[part.column(2 + i) for i in range(n_keep)], *columns], names)
+                for at in range(0, part.num_rows, ROWS):
+                    some, heads, out = part.slice(at, ROWS), [], []
+                    for raw in some.column(2 + n_keep).to_pylist():
+                        heads.append(struct.unpack_from(_HEAD, raw))
+                        refs = np.frombuffer(raw, np.int32, offset=_HEAD_SIZE)
+                        if len(refs) and refs.max() >= len(stops) - 1:
+                            raise RuntimeError("a document came before its units")
+                        starts, n = stops[refs], stops[refs + 1] - stops[refs]
+                        total = int(n.sum())
+                        out.append(values[np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)] if total else np.zeros(0, np.int32))
+                    columns = finish.make(pieces, out, *(pa.array(v, pa.int64()) for v in zip(*heads, strict=True)))
+                    yield pa.RecordBatch.from_arrays([*[some.column(2 + i) for i in range(n_keep)], *columns], names)
 
     return run
 
