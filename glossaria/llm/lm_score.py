@@ -1,13 +1,17 @@
 """Language-model scores by compression cross-entropy (operator 2).
 
 Two dictionaries are gathered from counts over the whole corpus: one of in-domain
-rows, one of all rows. A text's cross-entropy under a dictionary is the size of its
+rows, one of all rows. Both may have ``GROWTH`` times the square root of the corpus's
+bytes (25 MB: 0.3 MB, 0.5 GB: 1.4 MB, 30 GB: 11 MB), at least ``DICTIONARY``, so rarer
+terms enter as the corpus grows. Match tables are as long as the dictionary: a Python
+worker holds up to 18 times its bytes for each of the two. A text's cross-entropy under a dictionary is the size of its
 zstandard frames, block by block, with that dictionary. The score is the difference
 of the two sizes over their sum: above 0, the text is closer to the domain.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -17,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import ddl, map_rows, materialise
 
-#: Bytes of a dictionary; bytes of text compressed at once; longest term; level.
+#: Least bytes of a dictionary; bytes of text compressed at once; longest term; level.
 DICTIONARY, BLOCK, TERM, LEVEL = 96 * 1024, 16 * 1024, 48, 3
+#: Bytes of a dictionary for the square root of a byte of the corpus.
+GROWTH = 64
 #: Different terms that a task holds before it passes its counts on.
 HELD = 400_000
 
@@ -54,29 +60,49 @@ def term_counts(df: DataFrame, in_domain: Column, text_col: str = "text") -> Dat
     return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_domain").alias("n_domain"))
 
 
+def dictionary_size(counts: DataFrame) -> int:
+    """Bytes of a dictionary for the corpus that was counted."""
+    counted = counts.agg(F.sum(F.col("n") * F.length("term"))).first()[0] or 0
+    return max(DICTIONARY, GROWTH * math.isqrt(counted))
+
+
 def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY) -> bytes:
     """The terms that save most bytes, up to ``size``, the best last, where matches are cheapest.
 
-    At most ``size`` terms come to the driver. Ties are broken by the term.
+    Bytes are added up by what their terms save, which finds the least saving that fits
+    whole; only terms from there on come to the driver. Ties are broken by the term.
     """
-    best = counts.filter(F.col(column) > 0).orderBy((F.col(column) * F.length("term")).desc(), "term").limit(size // 2).select("term").collect()
-    out, left = [], size
-    for (term,) in best:
+    saved = counts.filter(F.col(column) > 0).select("term", (F.col(column) * F.length("term")).alias("saved"))
+    levels = saved.groupBy("saved").agg(F.sum(F.length("term")).alias("bytes")).orderBy(F.col("saved").desc())
+    least, left = None, size
+    for level, n in levels.toLocalIterator():
+        if n > left:
+            break
+        least, left = level, left - n
+    else:
+        level = None
+    whole = saved.filter(F.col("saved") >= least).orderBy(F.col("saved").desc(), "term").select("term").toArrow()["term"].to_pylist() if least is not None else []
+    some = saved.filter(F.col("saved") == level).orderBy("term").limit(left).select("term").toArrow()["term"].to_pylist() if level is not None else []
+    for term in some:
         if len(term) > left:
             break
-        out.append(bytes(term))
+        whole.append(term)
         left -= len(term)
-    return b"".join(reversed(out))
+    return b"".join(reversed(whole))
 
 
 def compressor(content: bytes):
     """A function from bytes to the sum of the sizes of their compressed blocks."""
-    options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    if len(content) >= 8:
+    options = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if len(content) < 8:
+        compress = zstandard.ZstdCompressor(level=LEVEL, **options).compress
+    else:
+        # the level's own tables are for 128 Ki positions and would forget the others
+        log = max(17, min(24, len(content).bit_length()))
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, window_log=max(18, min(27, (len(content) + BLOCK).bit_length())), hash_log=log, chain_log=log, **options)
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.precompute_compress(level=LEVEL)
-        options = {"dict_data": known, **{k: v for k, v in options.items() if k != "level"}, "level": LEVEL}
-    compress = zstandard.ZstdCompressor(**options).compress
+        known.precompute_compress(compression_params=params)
+        compress = zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
     return lambda data: sum(len(compress(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK))
 
 
@@ -104,7 +130,8 @@ def compression_scores(df: DataFrame, in_domain: Column, keep: list[str], text_c
     ``in_domain`` says which rows are the domain (null: not). No such row: its
     dictionary is empty. Repeated rows give equal rows and count each time; an empty
     table gives an empty table. The counts are written to the shared folder; two
-    dictionaries of at most ``DICTIONARY`` bytes go to the tasks.
+    dictionaries of at most :func:`dictionary_size` bytes go to the tasks.
     """
     counts = materialise(term_counts(df, in_domain, text_col), "terms")
-    return score(df, dictionary(counts, "n_domain"), dictionary(counts, "n"), keep, text_col)
+    size = dictionary_size(counts)
+    return score(df, dictionary(counts, "n_domain", size), dictionary(counts, "n", size), keep, text_col)

@@ -78,6 +78,24 @@ def test_domain_scores_higher(spark):
     assert scores[True] > scores[False]
 
 
+def test_dictionaries_grow_with_the_corpus(spark):
+    counts = spark.range(400_000).select(F.concat(F.lit(" w"), F.lpad(F.hex("id"), 6, "0")).cast("binary").alias("term"), (F.col("id") % 7 + 1).alias("n"), (F.col("id") % 3).alias("n_domain"))
+    size = lm_score.dictionary_size(counts)
+    rows = [(bytes(r.term), r.n, r.n_domain) for r in counts.collect()]
+    assert size == 64 * int(sum(8 * n for _, n, _ in rows) ** 0.5) > 2 * lm_score.DICTIONARY
+    for k, column in ((1, "n"), (2, "n_domain")):
+        best = [r[0] for r in sorted((r for r in rows if r[k]), key=lambda r: (-r[k] * len(r[0]), r[0]))][: size // 8]
+        got = lm_score.dictionary(counts, column, size)
+        assert got == b"".join(reversed(best))
+
+
+def test_whole_dictionaries_are_used():
+    terms = [b" " + hashlib.sha1(b"%d" % i).hexdigest()[:12].encode() for i in range(40_000)]
+    content, far = b"".join(terms), b"".join(terms[:1500:30])
+    near = lm_score.compressor(content[-lm_score.DICTIONARY :])(far)
+    assert lm_score.compressor(content)(far) < 0.55 * near
+
+
 @pytest.mark.parametrize("n", [1, 3, 7])
 def test_shards(docs, n):
     got = shard.interleave(docs, n).collect()
