@@ -26,11 +26,16 @@ def _whole(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("row"), "text")
 
 
-def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``drop``, whose size decides how they are joined."""
-    drop = materialise(drop.select(F.col("doc_id").alias("dropped_id")).distinct(), "drop")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as one column beside their number ``at``, written so that numbers stay."""
+    return materialise(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+
+
+def _without(numbered: DataFrame, drop: DataFrame) -> DataFrame:
+    """Rows whose number isn't in column ``at`` of ``drop``, whose size decides how they are joined."""
+    drop = materialise(drop.select(F.col("at").alias("dropped")).distinct(), "drop")
     hint = F.broadcast if drop.count() <= BROADCAST_IDS else (lambda x: x)
-    return docs.join(hint(drop), docs.doc_id == F.col("dropped_id"), "left_anti")
+    return numbered.join(hint(drop), F.col("at") == F.col("dropped"), "left_anti").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,15 +53,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.filter("doc_id <> component_id"))
+    """Keeps of each group of near-duplicates one row: that with the smallest id, the first such.
+
+    Null ids come after all others. Rows are dropped one by one, whatever ids they share.
+    """
+    rows = _numbered(docs)
+    order = F.struct(F.col("row.doc_id").isNull().alias("unknown"), F.col("row.doc_id").alias("id"), "at")
+    groups = simhash.near_duplicates(rows.select(order.alias("place"), F.col("row.text").alias("text")), "place")
+    return _without(rows, groups.filter("place.at <> component_id.at").select("place.at"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.filter("contaminated"))
+    """Drops rows that hold a window of a benchmark item, and no other row of their id."""
+    rows = _numbered(docs)
+    found = decontam.contamination(rows.select("at", F.col("row.text").alias("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "at")
+    return _without(rows, found.filter("contaminated"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
