@@ -4,6 +4,7 @@ import pytest
 
 from glossaria import cli
 from glossaria.functions.fluent import FluentError
+from glossaria.operators import keys
 from glossaria.operators.keys import KeyConflict
 from glossaria.plans import config, engine
 from glossaria.sources.files import read_files
@@ -68,6 +69,13 @@ def test_dry_run_cache_and_conflicts(spark, tmp_path):
         engine.extract(spark, cfg)
 
 
+def test_all_conflicts_are_in_the_error(spark):
+    calls = spark.range(2400).selectExpr("concat('k', id div 2) AS key", "'a.ftl' AS ftl_path", "array(string(id % 2)) AS kwargs", "'m.py' AS code_path", "id AS ordinal")
+    with pytest.raises(KeyConflict) as error:
+        keys.checked(keys.merge_calls(calls))
+    assert str(error.value).count("1 files, 2 forms") == 1200
+
+
 def test_reference_cycles_and_unresolved(spark, tmp_path):
     put(tmp_path, {"app/m.py": "i18n.a(x=1, y=1)", "loc/en/_default.ftl": "a = { b } { $x }\nb = { a } { $y }\nc = { nowhere }\n"})
     got = engine.extract(spark, engine.ExtractConfig(str(tmp_path / "app"), str(tmp_path / "loc"), dry_run=True))
