@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, map_rows
-from .langid import stratified
+from .common import beside, crc_of_id, map_rows
+from .langid import bounded, stratified
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "letters", "digits", "upper", "space", "points", "symbols", "wide", "entropy",
@@ -155,12 +155,15 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
 
     About ``per_class`` ids of each label are picked by a hash (all, if there are
     fewer) and weighted back to the shares among all labels; only they are broadcast
-    to find their texts, and only their features come to the driver. A text labelled
-    both ways counts for both.
+    (some 10 bytes for each of 24,000 at most) to find their texts, and only their
+    features come to the driver, for twice as many rows at most where ids repeat. A text
+    labelled both ways counts for both.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(usable)
     sample, sizes = stratified(own, "label", per_class, "id")
+    sample = bounded(sample.distinct(), 2 * per_class)
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(sample), "id")
+    texts = bounded(texts, 2 * per_class)
     got = map_rows(texts, ["id", "label"], ["text"], "x array<double>", lambda: lambda t: ([features(v) for v in t],)).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     y = got["label"].to_numpy().astype(float)
     x = np.array(got["x"].to_pylist(), float).reshape(len(y), len(FEATURES))
@@ -168,8 +171,8 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return fit(x, y, np.array([weight[int(v)] for v in y]))
 
 
-def score(df: DataFrame, model: AdditiveModel, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``score`` for each row; null texts count as empty.
+def prediction(df: DataFrame, model: AdditiveModel, text: Column) -> Column:
+    """A struct of ``score`` for a column of texts of ``df``; null texts count as empty.
 
     The broadcast model has some thousand numbers, whatever the input's size.
     """
@@ -177,9 +180,9 @@ def score(df: DataFrame, model: AdditiveModel, keep: list[str], text_col: str =
 
     def factory():
         m = shared.value
-        return lambda texts: (m.score(np.array([features(t) for t in texts], float)).tolist(),)
+        return lambda texts: (m.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))).tolist(),)
 
-    return map_rows(df, keep, [text_col], "score double", factory)
+    return beside(text, "score double", factory)
 
 
 def not_held_out(id_col: str) -> Column:
@@ -192,9 +195,11 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Returns the id, ``held_out``, ``score`` and ``predicted``. Only the text enters a
     score. Without labels every score is 0.5. Null ids aren't held out and teach
-    nothing; empty texts get the score of all-zero features; repeated rows give equal
-    rows; an empty table gives an empty table.
+    nothing; empty texts get the score of all-zero features; texts count whole, however
+    long; repeated rows give equal rows; a score of exactly 0.5 predicts 1; an empty table
+    gives an empty table; other columns are not read, whatever their names.
     """
     model = train(df, labels, not_held_out("id"), id_col, text_col, label_col)
-    out = score(df, model, [id_col], text_col)
-    return out.select(F.col(f"`{id_col}`"), F.coalesce(crc_of_id(id_col) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    own = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    out = own.select("id", prediction(own, model, F.col("text"))["score"].alias("score"))
+    return out.select(F.col("id").alias(id_col), F.coalesce(crc_of_id("id") % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
