@@ -16,10 +16,10 @@ from collections import Counter
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ddl, map_rows, materialise
+from .common import ddl, map_rows, materialise, probable_members
 
 #: Least bytes of a dictionary; bytes of text compressed at once; longest term; level.
 DICTIONARY, BLOCK, TERM, LEVEL = 96 * 1024, 16 * 1024, 48, 3
@@ -34,30 +34,34 @@ def _terms(data: bytes) -> list[bytes]:
     return [p for w in data.split() for p in ([b" " + w] if len(w) < TERM else [w[i : i + TERM] for i in range(0, len(w), TERM)])]
 
 
-def term_counts(df: DataFrame, in_domain: Column, text_col: str = "text") -> DataFrame:
-    """(term, n, n_domain) over all rows: each task adds up, then terms are shuffled once."""
+def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n) over all rows: each task adds up, then terms are shuffled once."""
 
     def run(batches):
-        def out(every, domain):
-            terms = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array([every[t] for t in terms], pa.int64()), pa.array([domain.get(t, 0) for t in terms], pa.int64())], ["term", "n", "n_domain"])
+        def out(seen):
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        every, domain = Counter(), Counter()
+        seen = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                for text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    terms = _terms((text or "").encode("utf-8", "replace"))
-                    every.update(terms)
-                    if own:
-                        domain.update(terms)
-                if len(every) > HELD:
-                    yield out(every, domain)
-                    every, domain = Counter(), Counter()
-        yield out(every, domain)
+                for text in batch.column(0).slice(at, 64).to_pylist():
+                    seen.update(_terms((text or "").encode("utf-8", "replace")))
+                if len(seen) > HELD:
+                    yield out(seen)
+                    seen = Counter()
+        yield out(seen)
 
-    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.coalesce(in_domain, F.lit(False)).alias("own")).mapInArrow(run, ddl("term binary, n long, n_domain long"))
-    return rows.groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_domain").alias("n_domain"))
+    return df.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, ddl("term binary, n long")).groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def rows_of(df: DataFrame, members: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id is in the column ``member`` of ``members``, which has each id once.
+
+    Only the text of probable members is shuffled, by the same plan at every size; the
+    join verifies them. Null ids are no members.
+    """
+    near = probable_members(df, members, id_col)
+    return near.join(members.select("member").hint("shuffle_merge"), near[id_col] == F.col("member"), "left_semi")
 
 
 def dictionary_size(counts: DataFrame) -> int:
@@ -66,13 +70,13 @@ def dictionary_size(counts: DataFrame) -> int:
     return max(DICTIONARY, GROWTH * math.isqrt(counted))
 
 
-def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY) -> bytes:
+def dictionary(counts: DataFrame, size: int = DICTIONARY) -> bytes:
     """The terms that save most bytes, up to ``size``, the best last, where matches are cheapest.
 
     Bytes are added up by what their terms save, which finds the least saving that fits
     whole; only terms from there on come to the driver. Ties are broken by the term.
     """
-    saved = counts.filter(F.col(column) > 0).select("term", (F.col(column) * F.length("term")).alias("saved"))
+    saved = counts.select("term", (F.col("n") * F.length("term")).alias("saved"))
     levels = saved.groupBy("saved").agg(F.sum(F.length("term")).alias("bytes")).orderBy(F.col("saved").desc())
     least, left = None, size
     for level, n in levels.toLocalIterator():
@@ -124,14 +128,16 @@ def score(df: DataFrame, domain: bytes, general: bytes, keep: list[str], text_co
     return map_rows(df, keep, [text_col], "n_bytes long, domain_bytes long, general_bytes long, domain_bits double, general_bits double, score double", factory)
 
 
-def compression_scores(df: DataFrame, in_domain: Column, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Gathers both dictionaries from all of ``df`` and scores each row.
+def compression_scores(df: DataFrame, domain: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """Gathers one dictionary from all texts of ``domain``, one from all of ``df``, and scores each row of ``df``.
 
-    ``in_domain`` says which rows are the domain (null: not). No such row: its
-    dictionary is empty. Repeated rows give equal rows and count each time; an empty
-    table gives an empty table. The counts are written to the shared folder; two
-    dictionaries of at most :func:`dictionary_size` bytes go to the tasks.
+    No row in ``domain``: its dictionary is empty. Terms that save equally much enter in
+    their own order. Null texts count as empty; long texts are compressed whole, block by
+    block; ids are only kept, so they may be null or repeat. Repeated rows give equal rows
+    and count each time; an empty table gives an empty table; columns that aren't named
+    are not read, so their names can't clash. Counts are written to the shared folder;
+    two dictionaries of at most :func:`dictionary_size` bytes go to the tasks.
     """
-    counts = materialise(term_counts(df, in_domain, text_col), "terms")
-    size = dictionary_size(counts)
-    return score(df, dictionary(counts, "n_domain", size), dictionary(counts, "n", size), keep, text_col)
+    every, own = materialise(term_counts(df, text_col), "terms"), materialise(term_counts(domain, text_col), "terms")
+    size = dictionary_size(every)
+    return score(df, dictionary(own, size), dictionary(every, size), keep, text_col)

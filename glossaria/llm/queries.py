@@ -30,10 +30,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The domain: documents that are labelled as of good quality."""
-    good = _table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    good = _table(spark, sf_dir, "labels").filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("member")).distinct()
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.join(good, docs.doc_id == good.good_id, "left")
-    return lm_score.compression_scores(docs, F.col("good_id").isNotNull(), ["doc_id"])
+    return lm_score.compression_scores(docs, lm_score.rows_of(docs, good), ["doc_id"])
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
