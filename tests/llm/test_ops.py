@@ -335,6 +335,75 @@ def test_links_keep_every_component(spark):
     assert len(a) == len(prints) - len(set(want)) and (np.bitwise_count(a ^ b) <= 4).all()
 
 
+def brute_similar(texts):
+    def grams(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            p, q = sets[i], sets[j]
+            if (not p and not q) or p and q and len(p & q) >= 0.8 * len(p | q):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def edited(rng, words, share):
+    return [w if rng.random() > share else f"new{rng.integers(1 << 30)}" for w in words]
+
+
+def test_similar_rows(spark):
+    rng = np.random.default_rng(21)
+    some = [*texts(), None, "  ", "one two", "one two", "one two three"]
+    for _ in range(12):  # families, chains and near misses around the least similarity
+        base = [f"w{rng.integers(4000)}" for _ in range(int(rng.integers(40, 400)))]
+        for _ in range(12):
+            some.append(" ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.03, 0.06]))))
+            if rng.random() < 0.3:
+                base = some[-1].split()
+    some.append(" ".join(f"long{i % 3000}x{i}" for i in range(80_000)))
+    some.append(some[-1] + " and more")
+    rows = spark.createDataFrame(list(enumerate(some)), "at long, text string")
+    want = brute_similar(some)
+    assert 20 < len(set(want)) < len(some) - 80
+    assert {r["at"]: r.root for r in simhash.similar_rows(rows).collect()} == dict(enumerate(want))
+    assert simhash.similar_rows(rows.filter("false")).count() == 0
+
+
+def test_untested_pairs_are_all_found_in_the_end():
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    fp[100:200] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
+    node, root = np.arange(300), np.arange(300) // 3
+    a, b, more = simhash.untested_pairs(node, fp, root, 1 << 20)
+    got = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))
+    big = np.bincount(root).argmax()
+    near = {(i, j) for i in range(300) for j in range(i + 1, 300) if root[i] != root[j] and int(fp[i] ^ fp[j]).bit_count() <= simhash.WIDE}
+    assert got == near and not more and big >= 0
+    a, b, more = simhash.untested_pairs(node, fp, root, 2)
+    assert more and len(a) <= 600
+
+
+def test_one_key_of_many_fingerprints():
+    rng = np.random.default_rng(3)
+    keys = np.repeat(np.arange(4), [1, 2, 9, 1])
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(k), pa.array(k)], ["key", "node", "fp"]) for k in np.split(keys, [1, 2, 5, 6, 12])]
+    assert [k for b in simhash._shared_keys(batches) for k in b.column(0).to_pylist()] == [1] * 2 + [2] * 9
+    fp = rng.integers(0, 1 << 37, 20_000, dtype=np.uint64)  # all share 27 bits
+    a, b = simhash.spanning_links(fp)
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+
+
 def unigram():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb

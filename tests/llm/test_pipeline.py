@@ -1,7 +1,7 @@
 import corpus_pipeline
 from glossaria.llm import queries
 
-from .test_ops import brute_components, brute_contamination, brute_fingerprint, unigram
+from .test_ops import brute_contamination, brute_similar, unigram
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_stages_and_run(spark):
         assert ids <= set(kept)
         if name == "near_duplicates":
             order = sorted(kept)
-            roots = brute_components([brute_fingerprint(kept[i].text) for i in order])
+            roots = brute_similar([kept[i].text for i in order])
             assert ids == {order[c] for c in set(roots)}
         if name == "decontamination":
             hit = {x[0] for x in brute_contamination([(i, r.text) for i, r in kept.items()], items) if x[-1]}
