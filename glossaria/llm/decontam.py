@@ -10,17 +10,19 @@ then looked up at their places, which verifies exact containment.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ddl, map_rows, materialise
 
 WINDOW, SHINGLE = 10, 3
-#: UTF-8 bytes of benchmark text in one block; each block is one pass over the documents.
-BLOCK_BYTES = 4_000_000
+#: UTF-8 bytes and words of benchmark text in one block; each block is one pass over the documents.
+BLOCK_BYTES, PIECE_WORDS = 4_000_000, 500_000
 
 # Bytes that no word has become spaces; A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -65,35 +67,66 @@ class ShingleIndex:
         return len(own), np.concatenate([p for p, _ in found]).tolist(), np.concatenate([s for _, s in found]).tolist()
 
 
-def index_items(items: list[tuple[int, str | None]]) -> tuple[ShingleIndex, list[tuple]]:
-    """The index of some items, and their distinct windows: (item, words, shingle numbers)."""
-    vocabulary: dict[bytes, int] = {}
-    windows = {}
+def pieces(items: Iterable[tuple[str, str | None]], most: int = PIECE_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items' words in lists of at most ``most`` words; longer items are cut so that no window is."""
+    held, n = [], 0
     for item, text in items:
-        ids = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words(text))
+        own = words(text)
+        for at in range(0, max(1, len(own) - WINDOW + 1), most - WINDOW + 1):
+            part = own[at : at + most]
+            if held and n + len(part) > most:
+                yield held
+                held, n = [], 0
+            held.append((item, part))
+            n += len(part)
+    if held:
+        yield held
+
+
+def index_items(items: list[tuple[str, list[bytes]]]) -> tuple[ShingleIndex, pa.Table, pa.Table]:
+    """The index of some items' words, their distinct windows (window, n, shingles), and the
+    items (window, item) of each, so that what many items have is looked for once."""
+    vocabulary: dict[bytes, int] = {}
+    windows: dict[tuple, int] = {}
+    owners = set()
+    for item, own in items:
+        ids = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in own)
         for at in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-            part = ids[at : at + WINDOW]
-            windows[item, part] = min(SHINGLE, len(part))
-    if len(vocabulary) >= 1 << 20:
-        raise ValueError("a block of items has too many words")
-    code = lambda part, a, k: sum(part[a + i] << 20 * (k - 1 - i) for i in range(k))
-    codes = {k: np.unique(np.array([code(p, a, k) for (_, p), n in windows.items() if n == k for a in range(len(p) - k + 1)], np.int64)) for k in sorted(set(windows.values()))}
+            owners.add((windows.setdefault(ids[at : at + WINDOW], len(windows)), item))
+    by_size: dict[int, list] = {}  # windows of equal length, as rows of numbers
+    for part, w in windows.items():
+        by_size.setdefault(len(part), []).append((w, *part))
+    made, codes = [], {}
+    for n, rows in by_size.items():
+        k, table = min(SHINGLE, n), np.array(rows, np.int64)
+        code = np.zeros((len(table), n - k + 1), np.int64)
+        for i in range(k):
+            code = code << 20 | table[:, 1 + i : n - k + 2 + i]
+        made.append((n, k, table[:, 0], code))
+        codes.setdefault(k, []).append(code.ravel())
+    codes = {k: np.unique(np.concatenate(c)) for k, c in sorted(codes.items())}
     first, start = {}, 0
     for k, c in codes.items():
         first[k], start = start, start + len(c)
-    rows = [(item, len(p), [int(np.searchsorted(codes[k], code(p, a, k))) + first[k] for a in range(len(p) - k + 1)]) for (item, p), k in windows.items()]
-    return ShingleIndex(vocabulary, codes, first), rows
+    parts = [pa.table({"window": pa.array(w, pa.int32()), "n": pa.array(np.full(len(w), n), pa.int32()), "shingles": pa.ListArray.from_arrays(pa.array(np.arange(len(w) + 1) * code.shape[1], pa.int32()), pa.array(np.searchsorted(codes[k], code.ravel()) + first[k], pa.int32()))}) for n, k, w, code in made]
+    empty = pa.table({"window": pa.array([], pa.int32()), "n": pa.array([], pa.int32()), "shingles": pa.array([], pa.list_(pa.int32()))})
+    owned = sorted(owners)
+    return ShingleIndex(vocabulary, codes, first), pa.concat_tables([empty, *parts]), pa.table({"window": pa.array([w for w, _ in owned], pa.int32()), "item": pa.array([i for _, i in owned], pa.string())})
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
-    """Items in blocks of about ``BLOCK_BYTES``, of which the driver holds one at a time."""
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items' words in blocks of about ``BLOCK_BYTES`` or ``PIECE_WORDS``, of which the driver holds one at a time."""
     own = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     n = 1 + int(own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
-    return [own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
+    for k in range(n):
+        yield from pieces((r[0], r[1]) for r in own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toLocalIterator())
 
 
-def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
-    """(row, item, start, n): windows that occur, from the matched shingles of a block."""
+def _hits(found: DataFrame, windows: DataFrame, owners: DataFrame) -> DataFrame:
+    """(row, item, start, n): windows that occur, from the matched shingles of a block.
+
+    The tables of a block, bounded by ``PIECE_WORDS``, are broadcast.
+    """
     places = found.select("row", "n_words", F.explode(F.arrays_zip("at", "shingle")).alias("m")).select("row", "n_words", F.col("m.at").alias("at"), F.col("m.shingle").alias("shingle"))
     rarity = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
     # Each window's shingles by rarity; only the rarest is joined with the documents.
@@ -105,7 +138,7 @@ def _hits(found: DataFrame, windows: DataFrame) -> DataFrame:
     wanted = candidates.join(F.broadcast(windows.select("window", F.posexplode("shingles").alias("offset", "shingle"))), "window").withColumn("at", F.col("start") + F.col("offset"))
     there = wanted.join(places.select("row", "at", "shingle"), ["row", "at", "shingle"])
     whole = there.groupBy("row", "window", "start", "n", "need").agg(F.count(F.lit(1)).alias("got")).filter("got = need")
-    return whole.join(F.broadcast(windows.select("window", "item")), "window").select("row", "item", "start", "n")
+    return whole.join(F.broadcast(owners), "window").select("row", "item", "start", "n")
 
 
 def find_windows(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -117,21 +150,25 @@ def find_windows(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     and never shuffled; what is shuffled are matched shingles.
     """
     spark = df.sparkSession
-    blocks = _blocks(items, item_col, item_text_col)
     given = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    if len(blocks) > 1:
-        given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "texts")
     rows, hits = None, None
-    for block in blocks:
-        index, windows = index_items([(r[0], r[1]) for r in block.collect()])
+    blocks = _blocks(items, item_col, item_text_col)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is not None:
+        given = materialise(given.withColumn("row", F.monotonically_increasing_id()), "texts")
+    while block is not None:
+        index, windows, owners = index_items(block)
         shared = spark.sparkContext.broadcast(index)
         found = map_rows(given, [c for c in given.columns if c != "text"], ["text"], "n_words long, at array<int>, shingle array<int>", lambda s=shared: lambda t: list(zip(*map(s.value.matches, t), strict=True)))
-        if len(blocks) == 1:
+        if "row" not in given.columns:
             found = found.withColumn("row", F.monotonically_increasing_id())
         found = materialise(found, "matches")
         rows = found.select("row", "id", "n_words") if rows is None else rows
-        got = _hits(found, spark.createDataFrame([(w, *x) for w, x in enumerate(windows)], ddl("window int, item string, n int, shingles array<int>")))
+        got = _hits(found, spark.createDataFrame(windows), spark.createDataFrame(owners))
+        if after is not None:
+            got = materialise(got, "hits")
         hits = got if hits is None else hits.union(got)
+        block, after = after, next(blocks, None)
     return rows, hits
 
 
@@ -142,8 +179,10 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
     ``n_hit`` counts words inside any occurrence of a window, ``n_items`` the items with
     an occurring window; the digest is of their ids, sorted as strings and joined with
     commas (of the empty string, if none). Null and empty texts have no words; null and
-    empty items no window. Repeated rows get equal rows; ids may be null. Without
-    documents the result is empty, without items nothing is hit.
+    empty items no window. Texts count whole; an item of any length is looked for, in parts
+    that share nine words. Repeated rows get equal rows; ids may be null and repeat; other
+    columns are not read, whatever their names. Without documents the result is empty,
+    without items nothing is hit.
     """
     rows, hits = find_windows(df, items, id_col, text_col, item_col, item_text_col)
     hits = materialise(hits, "hits")

@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice (operator 9).
 
 Encoding finds the segmentation into pieces with the highest sum of scores, as the
-unigram form of the library does. Texts are cut where no piece of the vocabulary can
+unigram form of the library does. A file whose scores are numbers of merges has no
+probabilities: its pieces get those of a law of ranks (see :func:`rank_score`), so the
+sum is a likelihood, too. Texts are cut where no piece of the vocabulary can
 cross, into units (a word with the spaces before it, a run of signs); the distinct
 units of a chunk of rows go through the lattice once:
 
@@ -20,6 +22,7 @@ task is computed again from its input split alone.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -32,12 +35,13 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ddl, map_rows
+from .common import ddl, field_of, map_rows
 
 SPACE = "▁"
 #: Characters of text in a chunk; positions folded in one inner array.
@@ -47,8 +51,10 @@ ROWS = 128
 #: Units kept for all chunks, and rows, picked by a hash, among which they are counted.
 #: They spare work and change no result: what they lack goes through its chunk's lattice.
 HOT_UNITS, HOT_ROWS = 300_000, 30_000
-#: Entries that a piece table may have to be broadcast; beyond, the join may choose.
-BROADCAST_PIECES = 1_000_000
+#: Entries that a piece table may have, as it is broadcast, and characters of its longest piece.
+BROADCAST_PIECES, LONGEST = 1_000_000, 127
+#: Added to a piece's rank in the law of ranks; scores are multiples of 1/256, whose sums are exact.
+RANK_SHIFT, UNUSED_SCORE = 1000, -40.0
 
 
 @dataclass
@@ -116,6 +122,12 @@ class Pieces:
         return out.decode("utf-8", "replace")
 
 
+def rank_score(score: float) -> float:
+    """The logarithm of a probability in proportion to 1 / (rank + ``RANK_SHIFT``), for a score that
+    is less a rank; scores that keep a piece from being merged are far below all others."""
+    return -round(256 * math.log(RANK_SHIFT - score)) / 256 if score > -1e8 else UNUSED_SCORE
+
+
 _WORD = re.compile(r"[^\W_]")
 
 
@@ -135,7 +147,10 @@ def load_pieces(path: str) -> Pieces:
     usable = {t: i for i, t in enumerate(text) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))}
     by_byte = {i for i in range(len(text)) if model.is_byte(i)}
     bytes_at = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if by_byte else []
-    return Pieces(text, usable, [model.get_score(i) for i in range(len(text))], bytes_at, model.unk_id(), proto.normalizer_spec.add_dummy_prefix)
+    score = rank_score if proto.trainer_spec.model_type == proto.trainer_spec.BPE else float
+    if len(usable) > BROADCAST_PIECES or max(map(len, usable), default=0) > LONGEST:
+        raise ValueError(f"{len(usable)} pieces of up to {max(map(len, usable), default=0)} characters; {BROADCAST_PIECES} of up to {LONGEST} are the most")
+    return Pieces(text, usable, [score(model.get_score(i)) for i in range(len(text))], bytes_at, model.unk_id(), proto.normalizer_spec.add_dummy_prefix)
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -157,7 +172,7 @@ def _cut_task(path: str, keep: T.StructType, hot):
     def run(batches):
         pieces = load_pieces(path)
         find = pieces.units.findall
-        index = hot.value
+        index = {u: i for i, u in enumerate(hot.value.to_pylist())}
         n_hot = len(index)
         held, docs, size = [], [], 0
 
@@ -198,12 +213,14 @@ def _cut_task(path: str, keep: T.StructType, hot):
 _EDGE = pa.struct([("at", pa.int32()), ("w", pa.float64()), ("code", pa.int32())])
 #: code = length * 2**24 + id + 2**22, so that of equal scores the longer piece is the maximum.
 _LENGTH, _ZERO = 24, 1 << 22
+#: A substring's place is start * 2**7 + length, as one 64-bit number.
+_AT, _LONGEST = 7, 127
 
 
 def _grouped(no, start, length, ident, weight, longest):
     """Units' numbers, and for each unit blocks of positions of edges that end there."""
     end = start.astype(np.int64) + length
-    order = np.argsort(no.astype(np.int64) << 38 | end << 6 | length, kind="stable")
+    order = np.lexsort((length, end, no))
     no, end, start, length = no[order], end[order], start[order], length[order]
     at = start - (end - 1) // BLOCK * BLOCK + longest - 1
     code = (length.astype(np.int64) << _LENGTH) + ident[order] + _ZERO
@@ -233,7 +250,7 @@ def _group_task(batches, longest: int, scores: np.ndarray, unknown_score: float)
         if cut:
             no, at, ident = (c[:cut] for c in columns)
             weight = np.where(ident >= 0, scores[np.maximum(ident, 0)], unknown_score)
-            no, lists = _grouped(no, at >> 6, at & 63, ident, weight, longest)
+            no, lists = _grouped(no, at >> _AT, at & _LONGEST, ident, weight, longest)
             n = len(no)
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), lists, *[pa.nulls(n, f.type) for f in schema]], ["no", "blocks", *[f.name for f in schema]])
 
@@ -367,9 +384,9 @@ class Digest:
 
 @dataclass
 class HotUnits:
-    """Encoded units: their numbers, and ids with the end of each unit's."""
+    """Encoded units, broadcast: their texts, and ids with the end of each unit's."""
 
-    index: dict[str, int]
+    units: Broadcast
     ids: np.ndarray
     ends: np.ndarray
 
@@ -379,11 +396,9 @@ def _lattice(cut: DataFrame, pieces: Pieces, passed: T.StructType) -> DataFrame:
     names = passed.fieldNames()
     starts = cut.select("no", F.posexplode_outer("windows").alias("start", "window"), *names)
     subs = starts.select("no", "start", "window", F.explode_outer(F.sequence(F.lit(1), F.length("window"))).alias("len"), *names)
-    subs = subs.select("no", (F.col("start") * 64 + F.col("len")).alias("at"), F.expr("left(window, len)").alias("sub"), *names)
+    subs = subs.select("no", (F.col("start").cast("long") * (1 << _AT) + F.col("len")).alias("at"), F.expr("left(window, len)").alias("sub"), *names)
     table = piece_table(cut.sparkSession, pieces)
-    if len(pieces.usable) > BROADCAST_PIECES:
-        raise ValueError(f"{len(pieces.usable)} pieces; the piece table is broadcast up to {BROADCAST_PIECES}")
-    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("no < 0 or (at & 63) = 1 or id is not null")
+    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter(f"no < 0 or (at & {_LONGEST}) = 1 or id is not null")
     edges = edges.select("no", "at", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), *names)
     edge, longest, scores, unknown = "array<array<array<struct<at: int, w: double, code: int>>>>", pieces.longest, np.array(pieces.scores), pieces.unknown_score
     grouped = edges.mapInArrow(lambda batches: _group_task(batches, longest, scores, unknown), T.StructType(list(ddl(f"no int, blocks {edge}").fields) + list(passed.fields)))
@@ -410,27 +425,27 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
     best = text.mapInArrow(count, ddl("unit string, n long")).groupBy("unit").agg(F.sum("n").alias("n")).filter(f"n > 1 and length(unit) <= {BLOCK}").orderBy(F.desc("n"), "unit").limit(units)
-    chosen = best.select("unit").toArrow()["unit"].to_pylist()
+    chosen = best.select("unit").toArrow()["unit"].combine_chunks()
     shared = spark.sparkContext.broadcast(chosen)
 
     def rows_of(batches):
         windows = load_pieces(model).windows
         for batch in batches:
-            numbers = batch.column(0).to_pylist()
-            for at in range(0, len(numbers), 2000):
-                some = numbers[at : at + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([windows(shared.value[i]) for i in some], pa.list_(pa.string()))], ["no", "windows"])
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.column(0).slice(at, 2000)
+                units = shared.value.take(some).to_pylist()
+                yield pa.RecordBatch.from_arrays([some.cast(pa.int32()), pa.array([windows(u) for u in units], pa.list_(pa.string()))], ["no", "windows"])
 
     cut = spark.range(0, len(chosen), 1, max(1, len(chosen) // 10_000)).mapInArrow(rows_of, ddl("no int, windows array<string>"))
     done = _lattice(cut, pieces, T.StructType([])).select("no", "back").toArrow().sort_by("no").combine_chunks()
-    ids, ends = [], [0]
-    for part in done.to_batches():
+    ids, ends = array("i"), array("q", [0])
+    for part in done.to_batches(max_chunksize=10_000):
         for _, own in _last_pieces(part.column(0), part.column(1), pieces):
-            ids += own
+            ids.extend(own)
             ends.append(len(ids))
     if len(ends) != len(chosen) + 1:
         raise RuntimeError("units were lost")
-    return HotUnits({u: i for i, u in enumerate(chosen)}, np.array(ids, np.int32), np.array(ends, np.int64))
+    return HotUnits(shared, np.array(ids, np.int32), np.array(ends, np.int64))
 
 
 def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text", finish=AllIds) -> DataFrame:
@@ -440,17 +455,18 @@ def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text", f
     ``model`` is the path of a model file, present on every executor. Null and empty
     texts have no ids. Characters that the vocabulary lacks become their bytes' pieces
     or, without such pieces, the unknown piece. Ties go to the longer last piece.
-    Repeated rows give equal rows; an empty table gives an empty table. Texts are read
+    Repeated rows give equal rows; ids may be null; an empty table gives an empty table.
+    A word of a million characters without a break takes a task over a minute. Texts are read
     once, and a bounded sample of them before, for the units kept for all chunks.
     ``finish`` may reduce the ids where they are made, as :class:`Digest` does.
     """
     pieces = load_pieces(model)
-    own = T.StructType([T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate(keep)])
-    hot, share = hot_units(df, model, text_col), df.sparkSession.sparkContext.broadcast
-    index, coded = share(hot.index), share((hot.ids, hot.ends))
+    own = T.StructType([T.StructField(f"k{i}", field_of(df, c).dataType) for i, c in enumerate(keep)])
+    hot = hot_units(df, model, text_col)
+    coded = df.sparkSession.sparkContext.broadcast((hot.ids, hot.ends))
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     passed = T.StructType(list(own.fields) + list(ddl(_PASS).fields))
-    cut = source.mapInArrow(_cut_task(model, own, index), T.StructType(list(ddl("no int, windows array<string>").fields) + list(passed.fields)))
+    cut = source.mapInArrow(_cut_task(model, own, hot.units), T.StructType(list(ddl("no int, windows array<string>").fields) + list(passed.fields)))
     out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, coded, finish), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
     return out.toDF(*keep, *finish.names)
 
@@ -467,5 +483,5 @@ def decode(df: DataFrame, model: str, keep: list[str], ids_col: str = "ids") ->
 
 def encoding_digest(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_bytes``, ``n_pieces``, ``ids_crc32``, ``decoded_bytes``, ``text_crc32`` and
-    ``lossless`` (the decoded text equals the text) for each row of ``df``."""
+    ``lossless`` (the decoded text equals the text) for each row of ``df``, as :func:`encode` has them."""
     return encode(df, model, [id_col], text_col, Digest)

@@ -28,7 +28,7 @@ def test_stages_and_run(spark):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == set(kept)
     lib = unigram()
-    assert all(got[i] == lib.encode(r.text) for i, r in kept.items() if len(r.text) < 2000)
+    assert all(got[i] == lib.encode(r.text) for i, r in kept.items() if len(r.text) < 8000)  # its sums are exact
 
 
 def test_rows_are_dropped_and_not_ids(spark):
