@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,8 +137,6 @@ def document_frequencies(df: DataFrame, text_col: str = "text") -> tuple[np.ndar
 
     def run(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
-        import pyarrow as pa
-
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(at, 256).to_pylist():
@@ -212,6 +211,8 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
             at, x = model.vector(at.values.to_numpy(), counts.values.to_numpy())
             rows.append((at.astype(np.int32), x.astype(np.float32)))
             y.append(index[label])
+    del taken
+    pa.default_memory_pool().release_unused()
     y = np.array(y, np.int64)
     aside = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~aside)

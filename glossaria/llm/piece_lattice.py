@@ -445,6 +445,8 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
             ends.append(len(ids))
     if len(ends) != len(chosen) + 1:
         raise RuntimeError("units were lost")
+    del done
+    pa.default_memory_pool().release_unused()
     return HotUnits(shared, np.array(ids, np.int32), np.array(ends, np.int64))
 
 

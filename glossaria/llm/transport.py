@@ -161,13 +161,52 @@ def _read_unit(pid: int, raw: bytes, access: bool, packet: int) -> Unit | None:
     return Unit(pid, pts, dts, access, packet, raw[9 + head : 6 + length if length else None])
 
 
+def _followed(own: np.ndarray) -> tuple[int, np.ndarray]:
+    """Breaks in the counters of one stream's packets with payload, and which aren't repeats."""
+    step = np.diff(own[:, 3].astype(np.int64) & 15) & 15
+    again = np.concatenate([[False], (step == 0) & (own[1:] == own[:-1]).all(axis=1)])
+    told = (own[:, 3] & 0x20 > 0) & (own[:, 4] > 0) & (own[:, 5] & 0x80 > 0)  # a break that the stream announces
+    return int(((step != 1) & ~again[1:] & ~told[1:]).sum()), ~again
+
+
+def _sections(own: np.ndarray) -> tuple[list[bytes], int]:
+    """The whole sections with a right checksum in a table's packets, and how many weren't."""
+    out, errors, held = [], 0, None
+    for row in own:
+        body = row[_start_of_payload(row) :].tobytes()
+        if row[1] & 0x40:
+            skip = 1 + (body[0] if body else 0)
+            parts = [(held or b"") + body[1:skip]] if held is not None else []
+            parts.append(body[skip:])
+        elif held is not None:
+            parts = [held + body]
+        else:
+            continue
+        for k, part in enumerate(parts):
+            held = None
+            while part and part[0] != 0xFF:
+                size = 3 + (int.from_bytes(part[1:3], "big") & 0xFFF) if len(part) >= 3 else 0
+                if not size or size > len(part):
+                    held = part
+                    break
+                if size < 12 or section_crc(part[:size]):
+                    errors += 1
+                else:
+                    out.append(part[:size])
+                part = part[size:]
+            if held is not None and k < len(parts) - 1:  # another begins before its end
+                errors += 1
+    return out, errors + (held is not None)
+
+
 def demux(data: bytes) -> Stream:
     """Everything that the stream's packets hold.
 
     Damage is counted, never raised: bytes between packets (``sync_losses``), a
-    counter that doesn't follow its predecessor (``continuity_errors``), a table
-    with a wrong checksum (``table_errors``, and the table is ignored). One repeat
-    of a packet is legal and is passed over.
+    counter that doesn't follow its predecessor (``continuity_errors``, of tables, too,
+    but for breaks that the stream announces), a table that is cut short or has a wrong
+    checksum (``table_errors``, and the table is ignored). Tables may span packets. One
+    repeat of a packet is legal and is passed over.
     """
     rows, lost = _aligned(data)
     out = Stream(n_packets=len(rows), sync_losses=lost)
@@ -175,23 +214,26 @@ def demux(data: bytes) -> Stream:
         return out
     pids = (rows[:, 1].astype(np.int64) & 0x1F) << 8 | rows[:, 2]
     tables = [0]
-    while tables:
-        pid = tables.pop(0)
-        for i in np.flatnonzero((pids == pid) & (rows[:, 1] & 0x40 > 0) & (rows[:, 3] & 0x10 > 0)):
-            body = rows[i, _start_of_payload(rows[i]) :].tobytes()
-            body = body[1 + body[0] :] if body else b""
-            size = 3 + (int.from_bytes(body[1:3], "big") & 0xFFF) if len(body) > 3 else 0
-            if size < 12 or size > len(body) or section_crc(body[:size]):
-                out.table_errors += 1
-            elif body[0] == 0 and pid == 0:
-                for at in range(8, size - 4, 4):
+    for pid in tables:
+        own = rows[(pids == pid) & (rows[:, 3] & 0x10 > 0)]
+        if not len(own):
+            continue
+        breaks, once = _followed(own)
+        out.continuity_errors += breaks
+        found, errors = _sections(own[once])
+        out.table_errors += errors
+        for body in found:
+            end = len(body) - 4
+            if body[0] == 0 and pid == 0:
+                for at in range(8, end, 4):
                     number, where = int.from_bytes(body[at : at + 2], "big"), int.from_bytes(body[at + 2 : at + 4], "big") & 0x1FFF
                     if number and number not in out.programs:
                         out.programs[number] = where
-                        tables.append(where)
+                        if where not in tables:
+                            tables.append(where)
             elif body[0] == 2:
                 at = 12 + (int.from_bytes(body[10:12], "big") & 0xFFF)
-                while at + 5 <= size - 4:
+                while at + 5 <= end:
                     out.streams[int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF] = body[at]
                     at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
     for pid in sorted(out.streams):
@@ -199,10 +241,9 @@ def demux(data: bytes) -> Stream:
         if not len(where):
             continue
         own = rows[where]
-        step = np.diff(own[:, 3].astype(np.int64) & 15) & 15
-        again = np.concatenate([[False], (step == 0) & (own[1:] == own[:-1]).all(axis=1)])
-        out.continuity_errors += int(((step != 1) & ~again[1:]).sum())
-        own, where = own[~again], where[~again]
+        breaks, once = _followed(own)
+        out.continuity_errors += breaks
+        own, where = own[once], where[once]
         starts = np.flatnonzero(own[:, 1] & 0x40)
         for a, b in zip(starts, [*starts[1:], len(own)], strict=True):
             unit = own[a:b]
@@ -219,6 +260,13 @@ def demux(data: bytes) -> Stream:
     return out
 
 
+UNITS = "array<struct<pid: int, pts: bigint, dts: bigint, random_access: boolean, packet: bigint, n_bytes: bigint>>"
+
+
+def _listed(s: Stream) -> list[dict]:
+    return [{"pid": u.pid, "pts": u.pts, "dts": u.dts, "random_access": u.random_access, "packet": u.packet, "n_bytes": len(u.data)} for u in s.units]
+
+
 def index_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """One row for each stream of the binary column ``media_col``, with its units.
 
@@ -232,12 +280,12 @@ def index_streams(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
         got = [demux(m or b"") for m in media]
         return (
             [[{"program": n, "pid": p} for n, p in sorted(s.programs.items())] for s in got],
-            [[{"pid": u.pid, "pts": u.pts, "dts": u.dts, "random_access": u.random_access, "packet": u.packet, "n_bytes": len(u.data)} for u in s.units] for s in got],
+            [_listed(s) for s in got],
             [s.payload() for s in got],
             *[[getattr(s, k) for s in got] for k in ("n_packets", "sync_losses", "continuity_errors", "table_errors")],
         )
 
-    return map_rows(df, [id_col], [media_col], "programs array<struct<program: int, pid: int>>, units array<struct<pid: int, pts: bigint, dts: bigint, random_access: boolean, packet: bigint, n_bytes: bigint>>, payload binary, n_packets long, sync_losses long, continuity_errors long, table_errors long", lambda: fn, rows=32)
+    return map_rows(df, [id_col], [media_col], f"programs array<struct<program: int, pid: int>>, units {UNITS}, payload binary, n_packets long, sync_losses long, continuity_errors long, table_errors long", lambda: fn, rows=32)
 
 
 def text_streams(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,9 +306,11 @@ def stream_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Stores each whole text as a stream, reads it back and describes what was read.
 
     Null counts as empty, whose payload is 64 zero bytes; equal texts give equal
-    rows; null and repeated ids pass through; an empty table gives an empty table.
-    ``feature`` has the tables, packets, units, random-access points, first and
-    last timestamp and errors found.
+    rows; null and repeated ids pass through; an empty table gives an empty table; texts are
+    stored whole, one at a time; other columns are not read, whatever their names.
+    ``feature`` has the tables, packets, units, random-access points, first and last
+    timestamp and errors found; ``units`` has every unit's timestamps, whether random
+    access is possible there, its first packet and its size.
     """
 
     def one(text):
@@ -270,9 +320,9 @@ def stream_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         data = got.payload()
         stamps = [u.pts for u in got.units]
         feature = f"programs={len(got.programs)};streams={len(got.streams)};packets={got.n_packets};units={len(got.units)};access={sum(u.random_access for u in got.units)};pts={min(stamps)}-{max(stamps)};errors={got.sync_losses + got.continuity_errors + got.table_errors}"
-        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, _listed(got)
 
     def fn(texts):
         return list(zip(*map(one, texts), strict=True))
 
-    return map_rows(df, [id_col], [text_col], "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", lambda: fn, rows=64)
+    return map_rows(df, [id_col], [text_col], f"n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units {UNITS}", lambda: fn, rows=64)

@@ -18,10 +18,11 @@ from .common import discard, materialise
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, STEPS, EVERY = 0.85, 16, 8
-#: Blocked where distrust is over this multiple of trust.
-RATIO = 1.0
-_LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*([a-z][a-z0-9+.\-]*://[^\s"'<>]+)"""
+#: Steps go on until ranks, which sum to 1, move by less than TOLERANCE in EVERY steps, after which they are written.
+DAMPING, TOLERANCE, EVERY = 0.85, 1e-3, 8
+#: Blocked where distrust is over this multiple of trust, by more than sums may round.
+RATIO, MARGIN = 1.0, 1e-6
+_LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^\s"'<>]+)"""
 
 
 def _lower(c: Column) -> Column:
@@ -32,6 +33,11 @@ def host_of(url: Column) -> Column:
     return _lower(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
+def linked_host(link: Column) -> Column:
+    """The host of a link with a scheme, or that begins with "//" and takes its page's scheme."""
+    return _lower(F.regexp_extract(link, r"(?s)^[^/?#]*//([^/?#]*)", 1))
+
+
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
@@ -53,33 +59,37 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str | None = "h
     up = chain.filter("size(split(host, '[.]')) > 2").select(F.col("host").alias("src"), F.expr("substring(host, instr(host, '.') + 1)").alias("dst"))
     edges = up.union(up.select("dst", "src")).withColumn("weight", F.lit(1.0))
     if html_col:
-        links = pages.select(host_of(F.col(f"`{url_col}`")).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), F.lit(_LINK), F.lit(1)))).alias("to"))
-        links = links.select("src", host_of(F.col("to")).alias("dst")).filter("src <> '' and dst <> ''")
-        edges = edges.union(links.withColumn("weight", F.lit(1.0)))
+        found = F.regexp_extract_all(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), F.lit(_LINK), F.lit(1))
+        links = pages.select(host_of(F.col(f"`{url_col}`")).alias("src"), F.explode(F.array_distinct(F.transform(found, linked_host))).alias("dst"))
+        edges = edges.union(links.filter("src <> '' and dst <> ''").withColumn("weight", F.lit(1.0)))
     return edges.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, rank): walks from ``seeds`` (host, weight) that return there with chance 1 - damping.
+def ranks(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank): for each kind, walks over its edges (kind, src, dst, weight) from its
+    seeds (kind, host, weight), to which they return with chance 1 - damping.
 
-    Weights of seeds add to 1. What reaches a host without edges ends there. Every
-    ``EVERY`` steps the ranks are written to the shared folder.
+    Each kind's ranks sum to 1: what reaches a host without edges returns to the seeds, too,
+    which is the same as to divide by the sum in the end. All kinds take a step in one join.
+    Steps stop at ``tolerance``; every ``EVERY`` steps the ranks are written to the shared folder.
     """
-    total = seeds.agg(F.sum("weight")).first()[0]
-    start = seeds.groupBy("host").agg((F.sum("weight") / F.lit(float(total or 1))).alias("rank"))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps_of = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
-    start = materialise(start, "seeds")
-    rank, written = start, None
-    for k in range(steps):
-        moved = steps_of.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(start.select("host", (F.col("rank") * (1 - damping)).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % EVERY == 0 or k == steps - 1:
-            rank = materialise(rank, "rank")
-            if written is not None:
-                discard(written)
-            written = rank
-    return rank
+    sums = seeds.groupBy("kind").agg(F.sum("weight").alias("total")).filter("total > 0")
+    start = seeds.groupBy("kind", "host").agg(F.sum("weight").alias("weight")).join(sums, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("rank"))
+    out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
+    steps = materialise(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
+    start = rank = materialise(start, "seeds")
+    while True:
+        before = rank
+        for _ in range(EVERY):
+            moved = steps.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+            again = start.select("kind", "host", F.col("rank") * (1 - damping))
+            rank = moved.union(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        rank = materialise(rank, "rank")
+        moves = rank.union(before.select("kind", "host", -F.col("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("move"))
+        change = moves.agg(F.sum(F.abs("move"))).first()[0] or 0.0
+        if change < tolerance:
+            total = rank.groupBy("kind").agg(F.sum("rank").alias("total"))
+            return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def judge_hosts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str | None = "html", ratio: float = RATIO) -> DataFrame:
@@ -91,10 +101,11 @@ def judge_hosts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     url = F.col(f"`{url_col}`")
     known = pages.select(host_of(url).alias("host"), rule_of(host_of(url), path_of(url), rules)[1].alias("verdict")).filter("verdict is not null").groupBy("host", "verdict").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     known, edges = materialise(known, "known"), materialise(host_edges(pages, url_col, html_col), "edges")
-    trust = personalised_rank(edges, known.filter("verdict = 'allow'").select("host", "weight")).withColumnRenamed("rank", "trust")
-    distrust = personalised_rank(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), known.filter("verdict = 'block'").select("host", "weight")).withColumnRenamed("rank", "distrust")
-    both = trust.join(distrust, "host", "full").select("host", F.round(F.coalesce("trust", F.lit(0.0)), 12).alias("trust"), F.round(F.coalesce("distrust", F.lit(0.0)), 12).alias("distrust"))
-    return both.withColumn("verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
+    both = edges.withColumn("kind", F.lit("allow")).union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("block").alias("kind")))
+    found = ranks(both, known.withColumnRenamed("verdict", "kind"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
+    hosts = found.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust"))
+    return hosts.withColumn("verdict", F.when(F.col("distrust") > ratio * (1 + MARGIN) * F.col("trust"), "block").otherwise("allow"))
 
 
 def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -103,7 +114,9 @@ def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     The longest rule that fits decides, else the host's verdict; a host that isn't in
     the graph is allowed, as is a url that is null or has no "://" (host and path
     empty). ``html_col`` None: domains alone make the edges. Ids may be null or
-    repeat. An empty table gives an empty table. Hosts' verdicts are joined on the
+    repeat; repeated pages count each time; of equal trust and distrust a host is allowed;
+    pages count whole, however long; other columns are not read, whatever their names. An
+    empty table gives an empty table. Hosts' verdicts are joined on the
     host; the join of a hot host is split by adaptive execution or, as verdicts are
     few, broadcast by it.
     """

@@ -122,6 +122,12 @@ def test_whole_dictionaries_are_used():
     assert lm_score.compressor(content)(far) < 0.55 * near
 
 
+def test_shards_of_many_sources_and_of_one_id(spark):
+    some = spark.range(4000).select(F.when(F.col("id") < 1500, None).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"), F.when(F.col("id") < 2500, F.concat(F.lit("s"), "id")).otherwise("hot").alias("source"))
+    got = shard.interleave(some, 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("d")).collect()
+    assert sum(r.n for r in got) == 4000 and all((r.a, r.b + 1, r.d) == (0, r.n, r.n) and r.n in (571, 572) for r in got)
+
+
 @pytest.mark.parametrize("n", [1, 3, 7])
 def test_shards(docs, n):
     got = shard.interleave(docs, n).collect()
@@ -205,6 +211,24 @@ def test_transport_damage_and_sizes():
     assert transport.demux(b"").units == [] and transport.demux(b"G" * 10).n_packets == 0
 
 
+def test_transport_tables_over_packets_and_announced_breaks():
+    body = b"".join(k.to_bytes(2, "big") + (0xE000 | 0x20 + k).to_bytes(2, "big") for k in range(1, 85))
+    long = transport._section(0, 1, body)
+    packets = [transport._table_packet(0, 0, long[:183]), bytes([0x47, 0, 0, 0x11]) + long[183:].ljust(184, b"\xff")]
+    got = transport.demux(b"".join(packets))
+    assert len(long) > 300 and len(got.programs) == 84 and got.programs[7] == 0x27 and not got.table_errors and not got.continuity_errors
+    assert transport.demux(packets[0]).table_errors == 1
+    skipped = transport.demux(packets[0] + packets[1][:3] + b"\x12" + packets[1][4:])
+    assert skipped.continuity_errors == 1
+    media = transport.mux(bytes(40_000))
+    first = next(i for i in range(0, len(media), 188) if media[i + 1] & 0x1F == 1 and i > 188 * 20 and media[i + 3] & 0x20)
+    cut = media[: first - 188] + media[first:]
+    assert transport.demux(cut).continuity_errors == 1
+    told = bytearray(cut)
+    told[first - 188 + 5] |= 0x80
+    assert transport.demux(bytes(told)).continuity_errors == 0
+
+
 def test_languages(spark, docs):
     rng = np.random.default_rng(0)
     sounds = {"aa": "ab ba ka la".split(), "bb": "zu oz xi qu".split(), "cc": "mn nm rt tr".split()}
@@ -265,23 +289,57 @@ def test_host_rules_and_ranks(spark):
     assert urlgraph.judge_pages(pages.filter("false")).count() == 0
 
 
+def brute_ranks(edges, seeds, steps=400):
+    """Ranks by power iteration; walks that end return to the seeds."""
+    names = sorted({x for e in edges for x in e[:2]} | set(seeds))
+    at = {x: i for i, x in enumerate(names)}
+    m, start = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for a, b, w in edges:
+        m[at[b], at[a]] += w
+    for x, w in seeds.items():
+        start[at[x]] = w / sum(seeds.values())
+    ends = m.sum(0) == 0
+    m = m / np.where(ends, 1, m.sum(0))
+    rank = start
+    for _ in range(steps):
+        rank = 0.85 * (m @ rank + rank[ends].sum() * start) + 0.15 * start
+    return dict(zip(names, rank.tolist(), strict=True))
+
+
 def test_ranks_against_power_iteration(spark):
     rng = np.random.default_rng(5)
-    edges = {(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}
-    df = spark.createDataFrame([(f"h{a}", f"h{b}", float(1 + (a + b) % 3)) for a, b in edges], "src string, dst string, weight double")
-    seeds = spark.createDataFrame([("h1", 2.0), ("h2", 1.0), ("far", 1.0)], "host string, weight double")
-    got = {r.host: r.rank for r in urlgraph.personalised_rank(df, seeds).collect()}
-    names = [f"h{i}" for i in range(12)] + ["far"]
-    m = np.zeros((13, 13))
-    for a, b in edges:
-        m[b, a] = 1 + (a + b) % 3
-    m = m / np.where(m.sum(0) > 0, m.sum(0), 1)
-    start = np.zeros(13)
-    start[[1, 2, 12]] = 0.5, 0.25, 0.25
-    rank = start
-    for _ in range(urlgraph.STEPS):
-        rank = 0.85 * m @ rank + 0.15 * start
-    assert all(abs(got.get(n, 0) - r) < 1e-9 for n, r in zip(names, rank, strict=True))
+    edges = [(f"h{a}", f"h{b}", float(1 + (a + b) % 3)) for a, b in {(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b}] + [("h1", "end", 2.0)]
+    seeds = {"h1": 2.0, "h2": 1.0, "far": 1.0}
+    rows = spark.createDataFrame(edges, "src string, dst string, weight double").withColumn("kind", F.lit("x"))
+    got = {r.host: r.rank for r in urlgraph.ranks(rows, spark.createDataFrame([("x", h, w) for h, w in seeds.items()], "kind string, host string, weight double"), tolerance=1e-9).collect()}
+    assert all(abs(got.get(n, 0) - r) < 1e-7 for n, r in brute_ranks(edges, seeds).items())
+
+
+def test_hosts_are_judged_by_links(spark):
+    rng = np.random.default_rng(6)
+    hosts = ["good.org", "a.net", "b.net", "c.net", "d.io", "e.io", "bad.com", "f.co"]
+    rows = []
+    for i in range(60):
+        h = hosts[int(rng.integers(len(hosts)))]
+        to = [hosts[int(k)] for k in rng.integers(0, len(hosts), 3)]
+        path = "/de/x" if h == "bad.com" else "/en/y"
+        rows.append((i, f"http://{h}{path}", "".join(f'<a href="{"http:" if k else ""}//{t}/1"><img src=//{t}/2>' for k, t in enumerate(to))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    weights, seeds = Counter(), {"allow": Counter(), "block": Counter()}
+    for _, url, html in rows:
+        own = url.split("/")[2]
+        weights.update((own, t) for t in set(re.findall(r"//([^/]+)/", html)) if t != own)
+        if own == "good.org":
+            seeds["allow"][own] += 1
+        if own == "bad.com":
+            seeds["block"][own] += 1
+    trust = brute_ranks([(a, b, w) for (a, b), w in weights.items()], seeds["allow"])
+    distrust = brute_ranks([(b, a, w) for (a, b), w in weights.items()], seeds["block"])
+    got = {r.host: r for r in urlgraph.judge_hosts(pages).collect()}
+    assert set(got) == set(trust) | set(distrust) and {r.verdict for r in got.values()} == {"allow", "block"}
+    for h, r in got.items():
+        assert abs(r.trust - trust.get(h, 0)) < 1e-3 and abs(r.distrust - distrust.get(h, 0)) < 1e-3
+        assert (r.verdict == "block") == (distrust.get(h, 0) > trust.get(h, 0))
 
 
 def brute_fingerprint(text):
