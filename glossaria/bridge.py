@@ -19,7 +19,7 @@ from .functions import text as text_functions
 from .functions.pyscan import ScanOptions
 from .operators import closure, keys, reconcile, stub
 from .operators import untranslated as report
-from .sources.stored import code_calls, entry_rows
+from .sources.stored import code_calls, entry_rows, stored_entries
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,21 +44,22 @@ def _arguments(c: str):
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every part is in code or in store: small ones only in store, large ones only in code, most in both."""
     part = _table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand").withColumn("key", F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))).withColumn("locale", F.lit("en"))
     file = F.concat("p_brand", F.lit(".ftl"))
-    code = part.filter("p_partkey % 10 <> 0").select("locale", "key", file.alias("ftl_path"), _arguments("p_size").alias("kwargs"))
+    code = part.filter("p_size >= 5").select("locale", "key", file.alias("ftl_path"), _arguments("p_size").alias("kwargs"))
     old = F.when(F.col("p_partkey") % 11 == 0, "old.ftl").otherwise(file)
-    stored = part.filter("p_partkey % 7 <> 0").select("locale", "key", old.alias("ftl_path"), F.when(F.col("p_partkey") % 5 == 1, F.array(F.lit("z"))).otherwise(_arguments("p_size")).alias("kwargs"))
+    stored = part.filter("p_size <= 45").select("locale", "key", old.alias("ftl_path"), F.when(F.col("p_partkey") % 5 == 1, F.array(F.lit("z"))).otherwise(_arguments("p_size")).alias("kwargs"))
     return code, stored
 
 
 _SIDES = """
 WITH code AS (SELECT concat('part-', CAST(p_partkey AS VARCHAR)) AS k, concat(p_brand, '.ftl') AS path,
-       CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END AS kw FROM part WHERE p_partkey % 10 <> 0),
+       CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END AS kw FROM part WHERE p_size >= 5),
  stored AS (SELECT concat('part-', CAST(p_partkey AS VARCHAR)) AS k,
        CASE WHEN p_partkey % 11 = 0 THEN 'old.ftl' ELSE concat(p_brand, '.ftl') END AS path,
        CASE WHEN p_partkey % 5 = 1 THEN 'z' ELSE CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END END AS kw
-       FROM part WHERE p_partkey % 7 <> 0),
+       FROM part WHERE p_size <= 45),
  st AS (SELECT coalesce(c.k, s.k) AS k, c.path AS code_path, s.path AS stored_path, CASE WHEN s.k IS NULL THEN 'added' WHEN c.k IS NULL THEN 'obsolete'
        WHEN c.path <> s.path THEN 'moved' WHEN c.kw <> s.kw THEN 'kwargs_changed' ELSE 'unchanged' END AS status
    FROM code c FULL OUTER JOIN stored s ON c.k = s.k)
@@ -85,14 +86,15 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MESSAGES = """
-WITH m AS (SELECT lang AS locale, concat(source, '.ftl') AS file_path, doc_id, concat('m-', CAST(doc_id % 200 AS VARCHAR)) AS k,
-       CASE WHEN doc_id % 3 = 0 AND lang <> 'de' THEN concat('m-', CAST(doc_id % 200 AS VARCHAR)) ELSE trim(split_part(text, chr(10), 1)) END AS v FROM documents)
+WITH m AS (SELECT lang AS locale, concat(source, '.ftl') AS file_path, doc_id, concat('m-', CAST(doc_id // 5 AS VARCHAR)) AS k,
+       CASE WHEN doc_id % 3 = 0 AND lang <> 'de' THEN concat('m-', CAST(doc_id // 5 AS VARCHAR)) ELSE trim(text, ' ') END AS v FROM documents)
 """
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat(F.lit("m-"), (F.col("doc_id") % 200).cast("string"))
-    value = F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") != "de"), key).otherwise(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
+    """Documents as messages, their whole text as value; five neighbours share a key."""
+    key = F.concat(F.lit("m-"), F.expr("doc_id div 5").cast("string"))
+    value = F.when((F.col("doc_id") % 3 == 0) & (F.col("lang") != "de"), key).otherwise(F.trim("text"))
     return _table(spark, sf_dir, "documents").select(F.col("lang").alias("locale"), F.concat("source", F.lit(".ftl")).alias("file_path"), key.alias("key"), value.alias("value"), F.col("doc_id").alias("line"), F.lit(False).alias("ignore_untranslated"), F.lit(0).alias("scan"))
 
 
@@ -163,13 +165,14 @@ def closure_acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.reachable(edges, nation.select(name("n", F.col("n_nationkey")).alias("source")))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 20 AS src, (3 * c_custkey + 1) % 20 AS dst FROM customer),
-c(source, node) AS (SELECT src, dst FROM e WHERE src IN (SELECT c_custkey % 20 FROM customer WHERE c_nationkey < 3) UNION SELECT c.source, e.dst FROM c JOIN e ON c.node = e.src)
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey // 10 * 10 + (3 * c_custkey + 1) % 10 AS dst FROM customer UNION SELECT c_custkey, c_custkey // 10 * 10 + (c_custkey + 1) % 10 FROM customer),
+c(source, node) AS (SELECT src, dst FROM e UNION SELECT c.source, e.dst FROM c JOIN e ON c.node = e.src)
 SELECT source, node FROM c""")
 def closure_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each customer reaches over two edges of its own, within its ten, in which they make cycles."""
     customer = _table(spark, sf_dir, "customer")
-    edges = customer.select((F.col("c_custkey") % 20).alias("src"), ((3 * F.col("c_custkey") + 1) % 20).alias("dst"))
-    return closure.reachable(edges, customer.filter("c_nationkey < 3").select((F.col("c_custkey") % 20).alias("source")))
+    edges = customer.select(F.col("c_custkey").alias("src"), F.explode(F.array(F.expr("c_custkey div 10 * 10 + (3 * c_custkey + 1) % 10"), F.expr("c_custkey div 10 * 10 + (c_custkey + 1) % 10"))).alias("dst"))
+    return closure.reachable(edges, customer.select(F.col("c_custkey").alias("source")))
 
 
 _TREE_KEYS = "SELECT concat(lower(c_mktsegment), '-', CAST(c_nationkey AS VARCHAR), '-', CAST(c_custkey AS VARCHAR)) AS key FROM customer UNION ALL SELECT DISTINCT concat(lower(c_mktsegment), '-', CAST(c_nationkey AS VARCHAR)) FROM customer WHERE c_nationkey < 5"
@@ -237,20 +240,113 @@ def ftl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.select("content").mapInPandas(run, "key string, kind string, position int, text string, vars string, ignored boolean")
 
 
-@query("""SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 7 = 0 OR doc_id % 5 = 0 AS parse FROM documents WHERE doc_id % 11 <> 0""")
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, lang = 'es' OR n_chars % 7 = 0 AS parse FROM documents WHERE lang <> 'de'""")
 def incremental_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: some are new, some have another size than in the state, some are gone."""
+    """Documents as files: one language is new, another is only in the state, some have another size there."""
     docs = _table(spark, sf_dir, "documents")
-    files = docs.filter("doc_id % 11 <> 0").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)).alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
-    state = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), F.array().cast("array<struct<ordinal: int, key: string, ftl_path: string, kwargs: array<string>>>").alias("calls"))
+    files = docs.filter("lang <> 'de'").select(F.col("doc_id").cast("string").alias("path"), (F.col("n_chars") + F.when(F.col("n_chars") % 7 == 0, 1).otherwise(0)).alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
+    state = docs.filter("lang <> 'es'").select(F.col("doc_id").cast("string").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"), F.array().cast("array<struct<ordinal: int, key: string, ftl_path: string, kwargs: array<string>>>").alias("calls"))
     changed, kept = incremental.split_files(files, state)
     return changed.select("path", F.lit(True).alias("parse")).union(kept.select("path", F.lit(False)))
 
 
-@query("""SELECT s.s_nationkey AS locale, c.c_custkey AS key FROM customer c JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c.c_nationkey <> s.s_nationkey WHERE s.s_nationkey < 3""")
+@query("""SELECT s.s_nationkey AS locale, c.c_custkey AS key FROM customer c JOIN (SELECT DISTINCT s_nationkey FROM supplier) s ON c.c_nationkey <> s.s_nationkey""")
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a locale lacks: the keys of every locale, less what is there."""
     wanted = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("own"))
-    locales = _table(spark, sf_dir, "supplier").filter("s_nationkey < 3").select(F.col("s_nationkey").alias("locale")).distinct()
-    each = wanted.withColumn("locale", F.explode(F.sequence(F.lit(0), F.lit(2)))).join(F.broadcast(locales), "locale", "left_semi")
+    locales = [r[0] for r in _table(spark, sf_dir, "supplier").select("s_nationkey").distinct().collect()]
+    each = wanted.withColumn("locale", F.explode(F.array(*[F.lit(x) for x in locales]).cast("array<int>")))
     return each.join(wanted.select("key", F.col("own").alias("locale")), ["key", "locale"], "left_anti").select("locale", "key")
+
+
+_CATALOG = """
+WITH RECURSIVE loc AS (SELECT * FROM (VALUES ('en', 99), ('de', 30)) t(locale, most)),
+b AS (SELECT locale, p.* FROM part p JOIN loc ON p_size <= most),
+node AS (SELECT locale, concat('message:part-', p_partkey) AS node, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'a' ELSE 'b' END AS var FROM b
+   UNION SELECT locale, concat('term:', p_brand), 't' FROM b),
+e AS (SELECT * FROM (SELECT locale, concat('message:part-', p_partkey) AS src, CASE WHEN p_type = 'PROMO' THEN concat('message:part-', p_partkey // 2) WHEN p_type = 'LARGE' THEN concat('term:', p_brand) END AS dst FROM b) x
+   WHERE EXISTS (SELECT 1 FROM node WHERE node.locale = x.locale AND node.node = x.dst)),
+"""
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as messages of two locales; some refer to the part of half their number, some to the term of their brand."""
+    part = _table(spark, sf_dir, "part").withColumn("locale", F.explode(F.when(F.col("p_size") <= 30, F.array(F.lit("en"), F.lit("de"))).otherwise(F.array(F.lit("en")))))
+    none = F.array().cast("array<struct<ref_kind: string, ref: string>>")
+    ref = lambda kind, to: F.array(F.struct(F.lit(kind).alias("ref_kind"), to.alias("ref")))
+    refs = F.when(F.col("p_type") == "PROMO", ref("message", F.concat(F.lit("part-"), F.expr("p_partkey div 2").cast("string")))).when(F.col("p_type") == "LARGE", ref("term", F.col("p_brand"))).otherwise(none)
+    own = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
+    messages = part.select("locale", F.lit("message").alias("kind"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"), own.alias("vars"), refs.alias("refs"))
+    return messages.union(part.select("locale", F.lit("term"), "p_brand", F.array(F.lit("t")), none).distinct())
+
+
+@query(
+    _CATALOG
+    + """c(locale, source, node) AS (SELECT DISTINCT locale, node, node FROM node WHERE node LIKE 'message:%' UNION SELECT c.locale, c.source, e.dst FROM c JOIN e ON c.locale = e.locale AND c.node = e.src)
+SELECT c.locale, substr(c.source, 9) AS key, coalesce(string_agg(DISTINCT n.var, ',' ORDER BY n.var), '') AS args FROM c JOIN node n ON c.locale = n.locale AND c.node = n.node GROUP BY c.locale, c.source"""
+)
+def transitive_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reconcile.transitive_arguments(_catalog(spark, sf_dir))
+    return found.select("locale", "key", F.array_join(F.array_sort("kwargs"), ",").alias("args"))
+
+
+_RETAINED = (
+    _CATALOG
+    + """c(locale, node) AS (SELECT e.locale, dst FROM e JOIN b ON e.locale = b.locale AND src = concat('message:part-', p_partkey) AND p_size >= 5 WHERE dst LIKE 'message:%'
+   UNION SELECT e.locale, e.dst FROM c JOIN e ON c.locale = e.locale AND c.node = e.src WHERE e.dst LIKE 'message:%'),
+code AS (SELECT locale, concat('part-', p_partkey) AS k FROM part, loc WHERE p_size >= 5),
+stored AS (SELECT locale, concat('part-', p_partkey) AS k FROM b),
+st AS (SELECT coalesce(a.locale, s.locale) AS locale, coalesce(a.k, s.k) AS key, CASE WHEN s.k IS NULL THEN 'added' WHEN a.k IS NOT NULL THEN 'unchanged'
+    WHEN EXISTS (SELECT 1 FROM c WHERE c.locale = s.locale AND c.node = concat('message:', s.k)) THEN 'retained' ELSE 'obsolete' END AS status
+  FROM code a FULL JOIN stored s ON a.locale = s.locale AND a.k = s.k)
+"""
+)
+
+
+def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small parts are no longer in code; of these, those that parts in use refer to are kept."""
+    best = _catalog(spark, sf_dir)
+    keys_of = _table(spark, sf_dir, "part").filter("p_size >= 5").select(F.explode(F.array(F.lit("en"), F.lit("de"))).alias("locale"), F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("key"), F.lit("x.ftl").alias("ftl_path"), F.array().cast("array<string>").alias("kwargs"))
+    stored = best.filter("kind = 'message'").select("locale", "key", F.lit("x.ftl").alias("ftl_path"), F.array().cast("array<string>").alias("kwargs"))
+    in_use = stored.join(keys_of.select("locale", "key"), ["locale", "key"], "left_semi").select("locale", "key")
+    return reconcile.statuses(keys_of, stored, reconcile.protected_keys(best, in_use))
+
+
+@query(_RETAINED + "SELECT locale, key, status FROM st")
+def retained_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _retained(spark, sf_dir).select("locale", "key", "status")
+
+
+@query(
+    _RETAINED
+    + """SELECT locale, count(*) FILTER (status = 'added') AS added, CAST(0 AS BIGINT) AS updated, count(*) FILTER (status = 'obsolete') AS commented,
+  count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'retained') AS retained FROM st GROUP BY locale"""
+)
+def statistics_by_locale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.statistics(_retained(spark, sf_dir))
+
+
+#: A value in each form that the argument rules tell apart, with what the rules make of it:
+#: variables for reconciliation, references, and variables of a stub's signature.
+_FORMS = (
+    ("{ $a } and { $b }", "a,b", "", "a,b"),
+    ("{ NUMBER($a, minimumFractionDigits: 2) }", "", "", "a"),
+    ("{ { $a } }", "", "", "a"),
+    ("{ $n ->\n    [one] { $a }\n   *[other] { $b }\n }", "n,a,b", "", "n,a,b"),
+    ("{ -brand(case: \"x\") } { -brand }", "", "term:brand", ""),
+    ("{ other.title } { other }", "", "message:other", ""),
+    ("{ NUMBER($n) ->\n   *[other] { $a }\n }", "a", "", "n,a"),
+    ("{ \"text\" } { 5 }", "", "", ""),
+)
+
+
+@query("SELECT concat('part-', p_partkey) AS key, f.vars, f.refs, f.args FROM part JOIN (VALUES " + ", ".join(f"({i}, '{v}', '{r}', '{a}')" for i, (_, v, r, a) in enumerate(_FORMS)) + ") f(form, vars, refs, args) ON p_size % 8 = f.form")
+def argument_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fluent text with every form of expression, parsed; one file for fifty parts."""
+    part = _table(spark, sf_dir, "part")
+    value = F.element_at(F.array(*[F.lit(f[0]) for f in _FORMS]), (F.col("p_size") % 8 + 1).cast("int"))
+    line = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit(" = "), value, F.lit("\n"))
+    files = part.select(F.expr("p_partkey div 50").alias("file"), "p_partkey", line.alias("line")).groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "").cast("binary").alias("content"))
+    entries = stored_entries(files.select(F.lit("en").alias("root"), F.lit("x").alias("path"), F.lit("x").alias("rel_path"), "content"))
+    refs = F.transform("refs", lambda r: F.concat_ws(":", r["ref_kind"], r["ref"]))
+    return entries.select("key", F.array_join("vars", ",").alias("vars"), F.array_join(F.array_distinct(refs), ",").alias("refs"), F.array_join("args", ",").alias("args"))

@@ -13,6 +13,8 @@ from .sources.sinks import normal_output_path, write_text
 LISTS = {"extract": ("languages", "i18n-keys", "i18n-keys-append", "i18n-keys-prefix", "exclude-dirs", "exclude-dirs-append", "ignore-attributes", "append-ignore-attributes", "ignore-kwargs"), "stub": (), "untranslated": ("languages", "suggest-from")}
 VALUES = {"extract": ("default-ftl-file", "comment-keys-mode", "line-endings", "cache-path"), "stub": (), "untranslated": ("output", "output-format")}
 FLAGS = {"extract": ("comment-junks", "dry-run", "cache", "clear-cache"), "stub": ("export-tree",), "untranslated": ("fail-on-untranslated",)}
+#: One-letter forms, as far as a verb has the setting.
+SHORT = {"languages": "-l", "i18n-keys": "-k", "i18n-keys-append": "-K", "i18n-keys-prefix": "-p", "exclude-dirs": "-e", "exclude-dirs-append": "-E", "ignore-attributes": "-i", "append-ignore-attributes": "-I"}
 PLACES = {"extract": ("code-path", "output-path"), "stub": ("ftl-path", "output-path"), "untranslated": ("locales-path",)}
 
 
@@ -25,12 +27,15 @@ def parser() -> argparse.ArgumentParser:
         for x in PLACES[name]:
             c.add_argument(x.replace("-", "_"), nargs="?")
         for x in LISTS[name]:
-            c.add_argument(f"--{x}", action="append")
+            c.add_argument(*([SHORT[x]] if x in SHORT else []), f"--{x}", action="append")
         for x in VALUES[name]:
             c.add_argument(f"--{x}")
         for x in FLAGS[name]:
             c.add_argument(f"--{x}", action="store_true")
-    sub.add_parser("config").add_argument("section", nargs="?", choices=config.SECTIONS)
+    c = sub.add_parser("config")
+    c.add_argument("sample", nargs="?", choices=("sample", *config.SECTIONS))
+    c.add_argument("section", nargs="?", choices=config.SECTIONS)
+    c.add_argument("--command", dest="section_asked", choices=config.SECTIONS)
     return p
 
 
@@ -42,7 +47,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     args = vars(parser().parse_args(argv))
     command = args.pop("command")
     if command == "config":
-        print(config.sample(args["section"]), end="")
+        first = args["sample"] if args["sample"] != "sample" else None
+        print(config.sample(args["section_asked"] or args["section"] or first), end="")
         return 0
     try:
         section = config.load(args.pop("config")).get(command, {})

@@ -34,10 +34,14 @@ class Entry:
     line: int = 0
 
 
+#: Placeables within placeables; more are an error, as is any other wrong syntax.
+DEPTH = 100
+
+
 class _Reader:
     def __init__(self, text: str):
         self.text = text.replace("\r\n", "\n")
-        self.at = 0
+        self.at, self.depth, self.counted = 0, 0, (0, 1)
 
     def fail(self, what: str):
         raise FluentError(f"line {self.text.count(chr(10), 0, self.at) + 1}: {what} expected")
@@ -109,10 +113,14 @@ class _Reader:
 
     def placeable(self) -> tuple:
         self.need("{")
+        self.depth += 1
+        if self.depth > DEPTH:
+            self.fail(f"at most {DEPTH} nested placeables")
         self.match(BLANK)
         out = self.expression()
         self.match(BLANK)
         self.need("}")
+        self.depth -= 1
         return out
 
     def expression(self) -> tuple:
@@ -197,8 +205,15 @@ class _Reader:
 
     # entries
 
+    def line(self) -> int:
+        """The line of the place, counted on from where it was asked for last."""
+        if self.at < self.counted[0]:
+            self.counted = (0, 1)
+        self.counted = (self.at, self.counted[1] + self.text.count("\n", self.counted[0], self.at))
+        return self.counted[1]
+
     def entry(self) -> Entry:
-        line = self.text.count("\n", 0, self.at) + 1
+        line = self.line()
         kind = "term" if self.take("-") else "message"
         out = Entry(kind, self.name(), line=line)
         self.inline_blank()
@@ -240,7 +255,9 @@ def parse(text: str, strict: bool = False) -> list[Entry]:
             else:
                 if pending:
                     out.append(pending)
-                pending = Entry(kind, comment=[text_line], line=r.text.count("\n", 0, start) + 1)
+                pending = Entry(kind, comment=[text_line], line=0)
+                end, r.at = r.at, start
+                pending.line, r.at = r.line(), end
             continue
         try:
             entry = r.entry()
@@ -249,6 +266,7 @@ def parse(text: str, strict: bool = False) -> list[Entry]:
             elif pending:
                 out.append(pending)
         except FluentError:
+            r.depth = 0
             if strict:
                 raise
             if pending:

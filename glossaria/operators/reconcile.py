@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .closure import reachable
+from .closure import spread
 
 
 def argument_set(c: Column) -> Column:
@@ -70,13 +70,17 @@ def unresolved(entries: DataFrame) -> DataFrame:
 
 
 def transitive_arguments(best: DataFrame) -> DataFrame:
-    """(locale, key, kwargs) of stored messages: their own variables and those of all they reach."""
+    """(locale, key, kwargs) of stored messages: their own variables and those of all they reach.
+
+    Variables move from what is referred to, against the references.
+    """
     nodes = best.select("locale", F.concat_ws(":", "kind", "key").alias("node"), "vars")
-    sources = best.filter("kind = 'message' and size(refs) > 0").select("locale", F.concat_ws(":", "kind", "key").alias("source"))
-    far = reachable(reference_edges(best), sources, ["locale"]).join(nodes, ["locale", "node"]).select("locale", "source", "vars")
-    own = nodes.filter("node like 'message:%'").select("locale", F.col("node").alias("source"), "vars")
-    merged = own.union(far).groupBy("locale", "source").agg(F.array_distinct(F.flatten(F.collect_set("vars"))).alias("kwargs"))
-    return merged.select("locale", F.expr("substring(source, 9)").alias("key"), "kwargs")
+    back = reference_edges(best).select("locale", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    all_of = spread(back, nodes.select("locale", "node", F.explode("vars").alias("label")), ["locale"])
+    merged = all_of.filter("node like 'message:%'").groupBy("locale", "node").agg(F.sort_array(F.collect_set("label")).alias("kwargs"))
+    none = F.array().cast("array<string>")
+    out = nodes.filter("node like 'message:%'").select("locale", "node").distinct().join(merged, ["locale", "node"], "left")
+    return out.select("locale", F.expr("substring(node, 9)").alias("key"), F.coalesce("kwargs", none).alias("kwargs"))
 
 
 def protected_keys(best: DataFrame, sources: DataFrame, through_terms: bool = False) -> DataFrame:
@@ -87,5 +91,6 @@ def protected_keys(best: DataFrame, sources: DataFrame, through_terms: bool = Fa
     edges = reference_edges(best)
     if not through_terms:
         edges = edges.filter("src like 'message:%' and dst like 'message:%'")
-    far = reachable(edges, sources.select("locale", F.concat(F.lit("message:"), "key").alias("source")), ["locale"])
-    return far.filter("node like 'message:%'").select("locale", F.expr("substring(node, 9)").alias("key")).distinct()
+    start = sources.select("locale", F.concat(F.lit("message:"), "key").alias("src"))
+    first = edges.join(start, ["locale", "src"], "left_semi").select("locale", F.col("dst").alias("node"), F.lit(True).alias("label"))
+    return spread(edges, first, ["locale"]).filter("node like 'message:%'").select("locale", F.expr("substring(node, 9)").alias("key"))

@@ -94,7 +94,7 @@ def walk(root: str, suffix: str, ignore_files: tuple[str, ...] = (), hidden: boo
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
             return
-        for name in ignore_files:
+        for name in reversed(ignore_files):  # the first named wins: its rules are asked first
             try:
                 with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
                     rules = [*rules, IgnoreRules(folder, f.readlines())]
