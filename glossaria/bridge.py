@@ -8,7 +8,9 @@ the real scanner or parser, while their SQL computes the rows without either.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,9 @@ from .functions import text as text_functions
 from .functions.pyscan import ScanOptions
 from .operators import closure, keys, reconcile, stub
 from .operators import untranslated as report
+from .plans import engine
+from .sources.files import read_files
+from .sources.sinks import write_files
 from .sources.stored import code_calls, entry_rows, stored_entries
 from .streaming import incremental
 
@@ -350,3 +355,88 @@ def argument_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = stored_entries(files.select(F.lit("en").alias("root"), F.lit("x").alias("path"), F.lit("x").alias("rel_path"), "content"))
     refs = F.transform("refs", lambda r: F.concat_ws(":", r["ref_kind"], r["ref"]))
     return entries.select("key", F.array_join("vars", ",").alias("vars"), F.array_join(F.array_distinct(refs), ",").alias("refs"), F.array_join("args", ",").alias("args"))
+
+
+def _in_files(rows: DataFrame, path, order: str, line) -> DataFrame:
+    """(path, content): the lines of each path, in order, joined."""
+    return rows.select(path.alias("path"), F.col(order).alias("nth"), line.alias("line")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "").alias("content"))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share."""
+    closure._shared_folder(spark)
+    return f"{urlparse(spark.sparkContext.getCheckpointDir()).path}/catalog-{uuid.uuid4().hex[:12]}"
+
+
+_FILE = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/_default.ftl"))
+_KEY = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+
+
+@query("""
+WITH loc AS (SELECT * FROM (VALUES ('en', 45), ('de', 30)) t(locale, most)),
+p AS (SELECT *, concat('part-', p_partkey) AS k, concat(lower(replace(p_brand, '#', '_')), '/_default.ftl') AS path, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a,b' END AS kw FROM part),
+s AS (SELECT locale, k, CASE WHEN p_size % 11 = 0 THEN 'old.ftl' ELSE path END AS path, CASE WHEN p_size % 5 = 1 THEN 'z' ELSE kw END AS kw FROM p, loc WHERE p_size <= most),
+c AS (SELECT locale, k, path, kw FROM p, loc WHERE p_size >= 5)
+SELECT locale, path AS file, k AS key, 'live' AS state, kw AS vars FROM c
+UNION ALL SELECT s.locale, s.path, s.k, 'commented', '' FROM s LEFT JOIN c ON s.locale = c.locale AND s.k = c.k WHERE c.k IS NULL OR c.path <> s.path OR c.kw <> s.kw""")
+def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and catalogs of two locales are written, brought up to date by the verb, and read again."""
+    folder, part = _folder(spark), _table(spark, sf_dir, "part")
+    args = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, ", a=1").otherwise(", a=1, b=x")
+    call = F.concat(F.lit('i18n.get("'), _KEY, F.lit('"'), args, F.lit(', _path="'), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit('")\n'))
+    write_files(_in_files(part.filter("p_size >= 5"), F.concat(F.lit(f"{folder}/code/m"), F.expr("p_partkey div 50"), F.lit(".py")), "p_partkey", call))
+    variables = F.when(F.col("p_size") % 5 == 1, " { $z }").when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " { $a }").otherwise(" { $a } { $b }")
+    own = F.when(F.col("p_size") % 11 == 0, "old.ftl").otherwise(_FILE)
+    for locale, most in (("en", 45), ("de", 30)):
+        write_files(_in_files(part.filter(F.col("p_size") <= most), F.concat(F.lit(f"{folder}/locales/{locale}/"), own), "p_partkey", F.concat(_KEY, F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
+    engine.extract(spark, engine.ExtractConfig(f"{folder}/code", f"{folder}/locales", ("en", "de")))
+    entries = stored_entries(read_files(spark, [f"{folder}/locales/{x}" for x in ("en", "de")], ".ftl"))
+    live = entries.filter("kind = 'message'").select("locale", F.col("rel_path").alias("file"), "key", F.lit("live").alias("state"), F.array_join("vars", ",").alias("vars"))
+    lines = F.regexp_extract_all("src", F.lit(r"(?m)^# (part-[0-9]+) ="), F.lit(1))
+    return live.union(entries.filter("kind = 'comment'").select("locale", "rel_path", F.explode(lines), F.lit("commented"), F.lit("")))
+
+
+@query("""
+WITH p AS (SELECT *, concat('part-', p_partkey) AS k, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line FROM part)
+SELECT locale, concat(locale, '/', lower(replace(p_brand, '#', '_')), '/_default.ftl') AS file_path, k AS key, line, p_name AS suggestion
+FROM p, (VALUES ('de'), ('fr')) l(locale) WHERE CASE locale WHEN 'de' THEN p_size % 4 = 0 AND p_size % 8 <> 0 ELSE p_size % 6 = 0 END""")
+def checked_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogs of three locales are written and checked by the verb; some placeholders are marked to be ignored."""
+    folder, part = _folder(spark), _table(spark, sf_dir, "part")
+    for locale, every, ignored in (("en", 100, 100), ("de", 4, 8), ("fr", 6, 100)):
+        value = F.when(F.col("p_size") % every == 0, _KEY).otherwise(F.col("p_name"))
+        mark = F.when(F.col("p_size") % ignored == 0, "# ignore\n").otherwise("")
+        write_files(_in_files(part, F.concat(F.lit(f"{folder}/{locale}/"), _FILE), "p_partkey", F.concat(mark, _KEY, F.lit(" = "), value, F.lit("\n"))))
+    found = engine.check_untranslated(spark, engine.UntranslatedConfig(folder, ("de", "fr"), ("en",))).untranslated
+    return found.select("locale", "file_path", "key", "line", F.try_element_at("suggestions", F.lit(1))["value"].alias("suggestion"))
+
+
+@query("""
+SELECT concat('n', p_partkey) AS name, CASE p_size % 3 WHEN 0 THEN '**kwargs: Any' WHEN 1 THEN '*, a: Any, **kwargs: Any' ELSE '*, a: Any, b: Any, **kwargs: Any' END AS args,
+  concat(p_name, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN ' { $a }' ELSE ' { $a } { $b }' END) AS literal FROM part""")
+def stub_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog is written, the verb makes its stub, and the stub's methods are read."""
+    folder, part = _folder(spark), _table(spark, sf_dir, "part")
+    variables = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " { $a }").otherwise(" { $a } { $b }")
+    key = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("-n"), F.col("p_partkey").cast("string"))
+    write_files(_in_files(part, F.concat(F.lit(f"{folder}/en/"), _FILE), "p_partkey", F.concat(key, F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
+    engine.generate_stub(spark, f"{folder}/en", f"{folder}/stub.pyi", export_tree=True)
+    method = r"def (\w+)\((.*)\) -> Literal\['(.*)'\]:"
+    lines = spark.read.text(f"file://{folder}/stub.pyi").filter(F.col("value").rlike(method))
+    return lines.select(*[F.regexp_extract("value", method, i).alias(c) for i, c in enumerate(("name", "args", "literal"), 1)])
+
+
+@query("""
+SELECT concat('f', p_partkey // 50) AS file, concat('part-n', p_partkey) AS key, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'size' ELSE 'size,price' END AS kwargs, false AS bad FROM part
+UNION ALL SELECT 'broken', NULL, NULL, true""")
+def scan_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys as attributes, below a prefix, nested and by name; one file isn't Python, one isn't UTF-8."""
+    part = _table(spark, sf_dir, "part")
+    n, args = F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "size=1").otherwise("size=1, price=x.y")
+    comma = F.when(F.col("p_size") % 3 == 0, "").otherwise(", ")
+    forms = [F.concat(F.lit("i18n.part.n"), n, F.lit("("), args, F.lit(")")), F.concat(F.lit("self.i18n.part.n"), n, F.lit("("), args, F.lit(")")), F.concat(F.lit('print(self.i18n.get("part-n'), n, F.lit('"'), comma, args, F.lit("))")), F.concat(F.lit('L("part-n'), n, F.lit('"'), comma, args, F.lit(")"))]
+    line = F.concat(F.element_at(F.array(*forms), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit("\n"))
+    files = _in_files(part, F.concat(F.lit("f"), F.expr("p_partkey div 50")), "p_partkey", line).select("path", F.col("content").cast("binary").alias("content"))
+    odd = spark.createDataFrame([("broken", bytearray(b'L("x"\n')), ("latin", bytearray(b'L("\xe9")\n'))], "path string, content binary")
+    calls = code_calls(files.union(odd).withColumn("size", F.length("content")), ScanOptions(prefixes=frozenset(["self"])))
+    return calls.select(F.col("code_path").alias("file"), "key", F.array_join("kwargs", ",").alias("kwargs"), F.col("error").isNotNull().alias("bad"))
