@@ -130,3 +130,34 @@ def test_config(tmp_path, monkeypatch):
     with pytest.raises(config.ConfigError):
         config.load("none.toml")
     assert config.load.__doc__ and "[tool.glossaria.stub]" in config.sample()
+
+
+def test_first_ignore_file_wins(tmp_path):
+    from glossaria.sources.files import walk
+
+    (tmp_path / "a.ftl").write_text("a = 1\n")
+    (tmp_path / "b.ftl").write_text("b = 1\n")
+    (tmp_path / ".gitignore").write_text("a.ftl\n")
+    (tmp_path / ".ignore").write_text("!a.ftl\nb.ftl\n")
+    assert [p.rsplit("/", 1)[-1] for p in walk(str(tmp_path), ".ftl", (".ignore", ".gitignore"))] == ["a.ftl"]
+
+
+def test_short_flags_and_samples(capsys):
+    from glossaria import cli
+
+    args = cli.parser().parse_args(["extract", "a", "b", "-l", "en", "-l", "de", "-k", "T", "-K", "U", "-p", "self", "-e", "x", "-E", "y", "-i", "q", "-I", "r"])
+    assert args.languages == ["en", "de"] and args.i18n_keys == ["T"] and args.i18n_keys_append == ["U"] and args.i18n_keys_prefix == ["self"]
+    assert (args.exclude_dirs, args.exclude_dirs_append, args.ignore_attributes, args.append_ignore_attributes) == (["x"], ["y"], ["q"], ["r"])
+    assert cli.parser().parse_args(["untranslated", "x", "-l", "de"]).languages == ["de"]
+    cli.main(["config", "sample", "--command", "stub"])
+    one = capsys.readouterr().out
+    cli.main(["config", "stub"])
+    assert one == capsys.readouterr().out and "[tool.glossaria.stub]" in one and "extract" not in one
+
+
+def test_labels_move_over_long_chains_and_cycles(spark):
+    from glossaria.operators import closure
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 4), (20, 20)], "src long, dst long")
+    got = closure.spread(edges, spark.createDataFrame([(0, "a"), (9, "b"), (20, "c")], "node long, label string"))
+    assert {(r.node, r.label) for r in got.collect()} == {(i, "a") for i in range(13)} | {(i, "b") for i in range(4, 13)} | {(20, "c")}

@@ -89,3 +89,13 @@ def test_files_that_are_not_python():
     for bad in ("def", "f(a=1, a=2); i18n.x()", b"\xff"):
         found, why = scan(bad if isinstance(bad, bytes) else bad.encode(), ScanOptions())
         assert not found and why
+
+
+def test_deep_nesting_is_an_error_and_lines_are_counted_once():
+    deep = "a = " + "{ " * 3000 + "$x" + " }" * 3000 + "\n"
+    with pytest.raises(fluent.FluentError):
+        fluent.parse(deep, strict=True)
+    assert [e.kind for e in fluent.parse(deep + "b = x\n")] == ["junk", "message"]
+    text = "".join(f"# c{i}\n\nk{i} = v\n    w\n" for i in range(300))
+    assert [e.line for e in fluent.parse(text) if e.kind == "message"] == [3 + 4 * i for i in range(300)]
+    assert [e.line for e in fluent.parse(text) if e.kind == "comment"] == [1 + 4 * i for i in range(300)]
