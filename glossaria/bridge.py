@@ -13,7 +13,7 @@ from collections.abc import Callable
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fluent
@@ -357,7 +357,7 @@ def argument_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("key", F.array_join("vars", ",").alias("vars"), F.array_join(F.array_distinct(refs), ",").alias("refs"), F.array_join("args", ",").alias("args"))
 
 
-def _in_files(rows: DataFrame, path, order: str, line) -> DataFrame:
+def _in_files(rows: DataFrame, path: Column, order: str, line: Column) -> DataFrame:
     """(path, content): the lines of each path, in order, joined."""
     return rows.select(path.alias("path"), F.col(order).alias("nth"), line.alias("line")).groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]), "").alias("content"))
 
@@ -368,8 +368,12 @@ def _folder(spark: SparkSession) -> str:
     return f"{urlparse(spark.sparkContext.getCheckpointDir()).path}/catalog-{uuid.uuid4().hex[:12]}"
 
 
-_FILE = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/_default.ftl"))
-_KEY = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
+def _file() -> Column:
+    return F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit("/_default.ftl"))
+
+
+def _key() -> Column:
+    return F.concat(F.lit("part-"), F.col("p_partkey").cast("string"))
 
 
 @query("""
@@ -383,12 +387,12 @@ def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code and catalogs of two locales are written, brought up to date by the verb, and read again."""
     folder, part = _folder(spark), _table(spark, sf_dir, "part")
     args = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, ", a=1").otherwise(", a=1, b=x")
-    call = F.concat(F.lit('i18n.get("'), _KEY, F.lit('"'), args, F.lit(', _path="'), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit('")\n'))
+    call = F.concat(F.lit('i18n.get("'), _key(), F.lit('"'), args, F.lit(', _path="'), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit('")\n'))
     write_files(_in_files(part.filter("p_size >= 5"), F.concat(F.lit(f"{folder}/code/m"), F.expr("p_partkey div 50"), F.lit(".py")), "p_partkey", call))
     variables = F.when(F.col("p_size") % 5 == 1, " { $z }").when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " { $a }").otherwise(" { $a } { $b }")
-    own = F.when(F.col("p_size") % 11 == 0, "old.ftl").otherwise(_FILE)
+    own = F.when(F.col("p_size") % 11 == 0, "old.ftl").otherwise(_file())
     for locale, most in (("en", 45), ("de", 30)):
-        write_files(_in_files(part.filter(F.col("p_size") <= most), F.concat(F.lit(f"{folder}/locales/{locale}/"), own), "p_partkey", F.concat(_KEY, F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
+        write_files(_in_files(part.filter(F.col("p_size") <= most), F.concat(F.lit(f"{folder}/locales/{locale}/"), own), "p_partkey", F.concat(_key(), F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
     engine.extract(spark, engine.ExtractConfig(f"{folder}/code", f"{folder}/locales", ("en", "de")))
     entries = stored_entries(read_files(spark, [f"{folder}/locales/{x}" for x in ("en", "de")], ".ftl"))
     live = entries.filter("kind = 'message'").select("locale", F.col("rel_path").alias("file"), "key", F.lit("live").alias("state"), F.array_join("vars", ",").alias("vars"))
@@ -404,9 +408,9 @@ def checked_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogs of three locales are written and checked by the verb; some placeholders are marked to be ignored."""
     folder, part = _folder(spark), _table(spark, sf_dir, "part")
     for locale, every, ignored in (("en", 100, 100), ("de", 4, 8), ("fr", 6, 100)):
-        value = F.when(F.col("p_size") % every == 0, _KEY).otherwise(F.col("p_name"))
+        value = F.when(F.col("p_size") % every == 0, _key()).otherwise(F.col("p_name"))
         mark = F.when(F.col("p_size") % ignored == 0, "# ignore\n").otherwise("")
-        write_files(_in_files(part, F.concat(F.lit(f"{folder}/{locale}/"), _FILE), "p_partkey", F.concat(mark, _KEY, F.lit(" = "), value, F.lit("\n"))))
+        write_files(_in_files(part, F.concat(F.lit(f"{folder}/{locale}/"), _file()), "p_partkey", F.concat(mark, _key(), F.lit(" = "), value, F.lit("\n"))))
     found = engine.check_untranslated(spark, engine.UntranslatedConfig(folder, ("de", "fr"), ("en",))).untranslated
     return found.select("locale", "file_path", "key", "line", F.try_element_at("suggestions", F.lit(1))["value"].alias("suggestion"))
 
@@ -419,7 +423,7 @@ def stub_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, part = _folder(spark), _table(spark, sf_dir, "part")
     variables = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, " { $a }").otherwise(" { $a } { $b }")
     key = F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("-n"), F.col("p_partkey").cast("string"))
-    write_files(_in_files(part, F.concat(F.lit(f"{folder}/en/"), _FILE), "p_partkey", F.concat(key, F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
+    write_files(_in_files(part, F.concat(F.lit(f"{folder}/en/"), _file()), "p_partkey", F.concat(key, F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
     engine.generate_stub(spark, f"{folder}/en", f"{folder}/stub.pyi", export_tree=True)
     method = r"def (\w+)\((.*)\) -> Literal\['(.*)'\]:"
     lines = spark.read.text(f"file://{folder}/stub.pyi").filter(F.col("value").rlike(method))

@@ -161,3 +161,12 @@ def test_labels_move_over_long_chains_and_cycles(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 4), (20, 20)], "src long, dst long")
     got = closure.spread(edges, spark.createDataFrame([(0, "a"), (9, "b"), (20, "c")], "node long, label string"))
     assert {(r.node, r.label) for r in got.collect()} == {(i, "a") for i in range(13)} | {(i, "b") for i in range(4, 13)} | {(20, "c")}
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and 'extract_files' in e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent).returncode == 0
