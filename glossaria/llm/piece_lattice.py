@@ -7,21 +7,23 @@ sum is a likelihood, too. Texts are cut where no piece of the vocabulary can
 cross, into units (a word with the spaces before it, a run of signs); the distinct
 units of a chunk of rows go through the lattice once:
 
-1. every unit's substrings of bounded length are exploded,
+1. the substrings of bounded length are exploded from the chunk's distinct windows (from
+   each position of a unit, the longest substring that a piece could be),
 2. equi-joined to the piece table (its size is fixed by the vocabulary and checked
    before it is broadcast),
-3. grouped by unit into edges for each end position, and
+3. grouped by unit into edges for each end position: those of each window of the unit, and
 4. folded with the higher-order function ``aggregate``, which keeps the best score of
    the last positions and the last piece of each.
 
-All steps are narrow. A chunk's unit rows come before its document rows, and narrow
-operators keep that order, so the rows of a unit, and a chunk's units and documents,
-meet without a shuffle; the last step verifies the order and fails otherwise. A lost
+All steps are narrow. A chunk's window rows come before its units, and those before its
+document rows, and narrow operators keep that order, so a chunk's windows, units and
+documents meet without a shuffle; the later steps verify the order and fail otherwise. A lost
 task is computed again from its input split alone.
 """
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import struct
@@ -46,8 +48,10 @@ from .common import ddl, field_of, map_rows
 SPACE = "▁"
 #: Characters of text in a chunk; positions folded in one inner array.
 CHUNK_CHARS, BLOCK = 32_000_000, 256
-#: Documents whose ids leave a task at once.
-ROWS = 128
+#: Documents whose ids leave a task at once; positions of units, and units, that go through the lattice in one pack.
+ROWS, PACK, PACK_UNITS = 128, 20_000, 2000
+#: Characters of a beginning that decide how long a piece there can be.
+DEPTH = 5
 #: Units kept for all chunks, and rows, picked by a hash, among which they are counted.
 #: They spare work and change no result: what they lack goes through its chunk's lattice.
 HOT_UNITS, HOT_ROWS = 300_000, 30_000
@@ -72,11 +76,11 @@ class Pieces:
         own = [self.scores[i] for i in self.usable.values()]
         self.unknown_score = min(own, default=0.0) - 10
         self.longest = max(map(len, self.usable), default=1)
-        # Lengths worth trying after each beginning of up to three characters.
+        # Lengths worth trying after each beginning of up to DEPTH characters.
         self.reach: dict[str, int] = {}
         for p in self.usable:
-            for k in range(1, 4):
-                self.reach[p[:k]] = max(self.reach.get(p[:k], 1), len(p) if k == 3 else min(len(p), k))
+            for k in range(1, DEPTH + 1):
+                self.reach[p[:k]] = max(self.reach.get(p[:k], 1), len(p) if k == DEPTH else min(len(p), k))
         # Where some piece joins a letter and a sign, the letter counts as a sign, unless
         # pieces join it to letters, too; then the sign counts as a letter.
         signs = {a if _is_word(a) else b for a, b in self._crossings(_is_word)}
@@ -103,10 +107,9 @@ class Pieces:
             return ""
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def windows(self, unit: str) -> list[str]:
-        """From each position, the longest substring that a piece could be."""
-        get = self.reach.get
-        return [unit[i : i + max(1, get(unit[i : i + 3]) or get(unit[i : i + 2]) or 1)] for i in range(len(unit))]
+    def reach_of(self, start: str) -> int:
+        """Characters of the longest substring that a piece could be, where up to ``DEPTH`` characters are ``start``."""
+        return next((n for k in range(len(start), 0, -1) if (n := self.reach.get(start[:k]))), 1)
 
     def of_character(self, code: int) -> list[int]:
         """Pieces of a character that the vocabulary lacks: its bytes, or the unknown piece."""
@@ -153,38 +156,113 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(text, usable, [score(model.get_score(i)) for i in range(len(text))], bytes_at, model.unk_id(), proto.normalizer_spec.add_dummy_prefix)
 
 
+def release() -> None:
+    """Gives unused memory back to the system, where its C library can: workers stay, and each takes its turn at every task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
+
+
+def _released(task):
+    def run(batches):
+        yield from task(batches)
+        release()
+
+    return run
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     rows = pa.table({"piece": pa.array(list(pieces.usable), pa.string()), "id": pa.array(list(pieces.usable.values()), pa.int32())})
     return spark.createDataFrame(rows)
 
 
-# Rows on the way: units have a number from 0 and windows; documents have the number -1 and
-# ``doc``, which is the size and checksum of the text and the numbers of its units.
-_PASS = "doc binary"
+# Rows on the way: windows have a number from 0 and their text; packs of units have _UNITS, and in
+# ``doc`` the first unit's number, how many there are, how many positions each has, and the number
+# of each position's window; documents have _DOCUMENT, and in ``doc`` the size and checksum of the
+# text, how many units it has, and their numbers as _packed. Behind the grouping, units have a number and their edges.
+_CUT, _PASS = "no int, window string", "doc binary"
 _HEAD, _HEAD_SIZE = "<qq", 16
+_DOC, _DOC_SIZE, _WIDE = "<qqq", 24, 0xFFFF
+_DOCUMENT, _UNITS = -1, -2
+
+
+#: Beginnings whose windows are remembered at a time.
+BEGINNINGS = 50_000
+
+
+class _Numbers(dict):
+    """Numbers from 0 for keys, in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
+def _packed(refs: np.ndarray) -> bytes:
+    """16 bits a number; those that don't fit follow with 32. The commonest units have the least numbers."""
+    return np.minimum(refs, _WIDE).astype(np.uint16).tobytes() + refs[refs >= _WIDE].tobytes()
+
+
+def _unpacked(raw: bytes, at: int, n: int) -> np.ndarray:
+    refs = np.frombuffer(raw, np.uint16, n, at).astype(np.int32)
+    refs[refs == _WIDE] = np.frombuffer(raw, np.int32, offset=at + 2 * n)
+    return refs
+
+
+def _unit_rows(units: list[str], first: int, pieces: Pieces):
+    """Columns ``no``, ``window`` and ``doc`` of the windows of ``units``, then of their packs; ``first`` is the first one's number."""
+    windows, packs, at = _Numbers(), [], 0
+    known: dict[str, int] = {}  # a beginning's window or, where that is longer, less its length
+
+    def learn(start: str) -> int:
+        if len(known) >= BEGINNINGS:
+            known.clear()
+        n = pieces.reach_of(start)
+        known[start] = x = -n if n > DEPTH else windows[start[:n]]
+        return x
+
+    while at < len(units):
+        counts, refs, begin = [], [], at
+        while at < len(units) and len(refs) < PACK and len(counts) < PACK_UNITS:
+            unit = units[at]
+            counts.append(len(unit))
+            for i in range(len(unit)):
+                start = unit[i : i + DEPTH]
+                x = known.get(start)
+                if x is None:
+                    x = learn(start)
+                refs.append(x if x >= 0 else windows[unit[i : i - x]])
+            at += 1
+        packs.append(struct.pack(_HEAD, first + begin, len(counts)) + np.array(counts, np.int32).tobytes() + np.array(refs, np.int32).tobytes())
+    names = list(windows)
+    for at in range(0, len(names), 10_000):
+        some = names[at : at + 10_000]
+        yield pa.array(range(at, at + len(some)), pa.int32()), pa.array(some, pa.string()), pa.nulls(len(some), pa.binary())
+    for pack in packs:
+        yield pa.array([_UNITS], pa.int32()), pa.nulls(1, pa.string()), pa.array([pack], pa.binary())
 
 
 def _cut_task(path: str, keep: T.StructType, hot):
     """Texts to unit rows and document rows, chunk by chunk."""
     arrow = to_arrow_schema(keep)
-    names = ["no", "windows", *keep.fieldNames(), "doc"]
+    names = ["no", "window", *keep.fieldNames(), "doc"]
 
     def run(batches):
         pieces = load_pieces(path)
         find = pieces.units.findall
-        index = {u: i for i, u in enumerate(hot.value.to_pylist())}
+        index = _Numbers((u, i) for i, u in enumerate(hot.value.to_pylist()))
         n_hot = len(index)
         held, docs, size = [], [], 0
 
         def flush():
             units = list(islice(index, n_hot, None))
-            for at in range(0, len(units), 2000):
-                some = units[at : at + 2000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays([pa.array(range(at, at + n), pa.int32()), pa.array([pieces.windows(u) for u in some], pa.list_(pa.string())), *[pa.nulls(n, f.type) for f in arrow], pa.nulls(n, pa.binary())], names)
+            for no, window, doc in _unit_rows(units, 0, pieces):
+                yield pa.RecordBatch.from_arrays([no, window, *[pa.nulls(len(no), f.type) for f in arrow], doc], names)
             at = 0
             for columns, n in held:
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), *columns, pa.array(docs[at : at + n], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([_DOCUMENT] * n, pa.int32()), pa.nulls(n, pa.string()), *columns, pa.array(docs[at : at + n], pa.binary())], names)
                 at += n
             held.clear()
             docs.clear()
@@ -197,13 +275,15 @@ def _cut_task(path: str, keep: T.StructType, hot):
                 for text in part.column(part.num_columns - 1).to_pylist():
                     data = (text or "").encode("utf-8", "replace")
                     found = find(pieces.normal(text))
-                    refs = np.fromiter((index.setdefault(u, len(index)) for u in found), np.int32, len(found))
-                    docs.append(struct.pack(_HEAD, len(data), zlib.crc32(data)) + refs.tobytes())
+                    refs = np.fromiter(map(index.__getitem__, found), np.int32, len(found))
+                    docs.append(struct.pack(_DOC, len(data), zlib.crc32(data), len(refs)) + _packed(refs))
                     size += len(text or "")
                 held.append((part.columns[:-1], part.num_rows))
                 if size >= CHUNK_CHARS:
                     yield from flush()
                     size = 0
+            part = batch = None  # else the last texts stay while a chunk leaves
+        release()
         yield from flush()
 
     return run
@@ -213,17 +293,15 @@ def _cut_task(path: str, keep: T.StructType, hot):
 _EDGE = pa.struct([("at", pa.int32()), ("w", pa.float64()), ("code", pa.int32())])
 #: code = length * 2**24 + id + 2**22, so that of equal scores the longer piece is the maximum.
 _LENGTH, _ZERO = 24, 1 << 22
-#: A substring's place is start * 2**7 + length, as one 64-bit number.
-_AT, _LONGEST = 7, 127
 
 
-def _grouped(no, start, length, ident, weight, longest):
-    """Units' numbers, and for each unit blocks of positions of edges that end there."""
-    end = start.astype(np.int64) + length
-    order = np.lexsort((length, end, no))
-    no, end, start, length = no[order], end[order], start[order], length[order]
-    at = start - (end - 1) // BLOCK * BLOCK + longest - 1
-    code = (length.astype(np.int64) << _LENGTH) + ident[order] + _ZERO
+def _grouped(no, end, start, length, ident, weight, longest):
+    """Units' numbers, and for each unit blocks of positions of edges that end there.
+
+    Edges of one unit after another; ``start`` and ``end`` are places in the unit, and ``length`` is between them.
+    """
+    at = np.where(end <= BLOCK, start, start - (end - 1) // BLOCK * BLOCK + longest - 1)
+    code = (length.astype(np.int64) << _LENGTH) + ident + _ZERO
     new_unit = np.concatenate([[True], no[1:] != no[:-1]])
     new_end = new_unit | np.concatenate([[True], end[1:] != end[:-1]])
     ends = np.flatnonzero(new_end)
@@ -231,49 +309,64 @@ def _grouped(no, start, length, ident, weight, longest):
     n_ends = np.diff(np.append(first, len(ends)))
     blocks = (n_ends + BLOCK - 1) // BLOCK
     block_at = np.concatenate([f + np.arange(0, n, BLOCK) for f, n in zip(first, n_ends, strict=True)]) if (blocks > 1).any() else first
-    edges = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(weight[order], pa.float64()), pa.array(code, pa.int32())], fields=list(_EDGE))
+    edges = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(weight, pa.float64()), pa.array(code, pa.int32())], fields=list(_EDGE))
     level = pa.ListArray.from_arrays(pa.array(np.append(ends, len(no)), pa.int32()), edges)
     level = pa.ListArray.from_arrays(pa.array(np.append(block_at, len(ends)), pa.int32()), level)
     return no[ends[first]], pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(blocks)]), pa.int32()), level)
 
 
+def _unit_edges(raw: bytes, table, longest: int):
+    """What :func:`_grouped` returns of a pack of units; ``table`` has each window's first edge and end, and the edges."""
+    stops, length, ident, weight = table
+    first, n = struct.unpack_from(_HEAD, raw)
+    numbers = np.frombuffer(raw, np.int32, offset=_HEAD_SIZE)
+    counts, refs = numbers[:n], numbers[n:]
+    if len(refs) != counts.sum() or refs.max() >= len(stops) - 1:
+        raise RuntimeError("a unit came before its windows")
+    starts, many = stops[refs], stops[refs + 1] - stops[refs]
+    edge = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
+    position = np.repeat(np.arange(len(refs)), many)
+    end = position + length[edge]
+    order = np.argsort(end.astype(np.uint16) if len(refs) < 1 << 16 else end, kind="stable")
+    edge, position, end = edge[order], position[order], end[order]
+    unit, base = np.repeat(np.arange(first, first + n), counts), np.repeat(np.cumsum(counts) - counts, counts)
+    before = base[position]
+    return _grouped(unit[position], end - before, position - before, length[edge], ident[edge], weight[edge], longest)
+
+
+def _window_edges(parts, scores: np.ndarray, unknown_score: float):
+    no, length, ident = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if no[0] or not np.isin(np.diff(no), (0, 1)).all():
+        raise RuntimeError("windows aren't in their chunk's order")
+    return np.append(np.flatnonzero(np.diff(no, prepend=-1)), len(no)), length, ident, np.where(ident >= 0, scores[np.maximum(ident, 0)], unknown_score)
+
+
 def _group_task(batches, longest: int, scores: np.ndarray, unknown_score: float):
-    """Joined substrings, in order, to one row a unit: edges by end position, in blocks."""
-    held: list[tuple] = []
-
-    def flush(keep: int | None, schema):
-        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        cut = len(columns[0]) if keep is None else int(np.searchsorted(columns[0], keep, "left"))
-        if cut < len(columns[0]):
-            held.append(tuple(c[cut:] for c in columns))
-        if cut:
-            no, at, ident = (c[:cut] for c in columns)
-            weight = np.where(ident >= 0, scores[np.maximum(ident, 0)], unknown_score)
-            no, lists = _grouped(no, at >> _AT, at & _LONGEST, ident, weight, longest)
-            n = len(no)
-            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int32()), lists, *[pa.nulls(n, f.type) for f in schema]], ["no", "blocks", *[f.name for f in schema]])
-
-    passed = None
+    """Windows' joined substrings, in order, and packs of units to one row a unit: edges by end position, in blocks."""
+    parts, table = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind = batch.column(0).to_numpy() < 0
+        no = batch.column(0).to_numpy()
+        kind = np.minimum(no, 0)
         passed = [batch.schema.field(i) for i in range(3, batch.num_columns)]
+        names = ["no", "blocks", *[f.name for f in passed]]
         turns = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1], [True]]))
         for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
             part = batch.slice(a, b - a)
-            if kind[a]:
-                if held:
-                    yield from flush(None, passed)
+            if kind[a] == _DOCUMENT:
                 empty = pa.nulls(b - a, pa.list_(pa.list_(pa.list_(_EDGE))))
-                yield pa.RecordBatch.from_arrays([part.column(0), empty, *part.columns[3:]], ["no", "blocks", *[f.name for f in passed]])
+                yield pa.RecordBatch.from_arrays([part.column(0), empty, *part.columns[3:]], names)
+            elif kind[a] == _UNITS:
+                if table is None:
+                    table = _window_edges(parts, scores, unknown_score)
+                for raw in part.column(batch.num_columns - 1).to_pylist():
+                    units, lists = _unit_edges(raw, table, longest)
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.int32()), lists, *[pa.nulls(len(units), f.type) for f in passed]], names)
             else:
-                held.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-                if sum(len(h[0]) for h in held) >= 60_000:
-                    yield from flush(int(held[-1][0][-1]), passed)
-    if held:
-        yield from flush(None, passed)
+                if table is not None:
+                    parts, table = [], None
+                parts.append(tuple(part.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
 
 
 def _last_pieces(numbers: pa.Array, lists: pa.Array, pieces: Pieces):
@@ -324,8 +417,9 @@ def _join_task(path: str, keep: T.StructType, hot, finish):
                 for at in range(0, part.num_rows, ROWS):
                     some, heads, out = part.slice(at, ROWS), [], []
                     for raw in some.column(2 + n_keep).to_pylist():
-                        heads.append(struct.unpack_from(_HEAD, raw))
-                        refs = np.frombuffer(raw, np.int32, offset=_HEAD_SIZE)
+                        *head, count = struct.unpack_from(_DOC, raw)
+                        heads.append(head)
+                        refs = _unpacked(raw, _DOC_SIZE, count)
                         if len(refs) and refs.max() >= len(stops) - 1:
                             raise RuntimeError("a document came before its units")
                         starts, n = stops[refs], stops[refs + 1] - stops[refs]
@@ -341,20 +435,25 @@ def fold_viterbi(blocks, longest: int):
     """For each position of a unit the code of the last piece of the best path to it.
 
     The inner fold appends each position's best (score, code) to an array that begins
-    with those of the ``longest`` positions before its block; the outer one appends the
-    blocks' arrays. So arrays stay short, and long units near-linear.
+    with those of the ``longest`` positions before its block, of the first block with its
+    start's; the outer one appends the blocks' arrays. So arrays stay short, and long units
+    near-linear.
     """
-    none = F.struct(F.lit(float("-inf")).alias("w"), F.lit(0).alias("code"))
-    seed = F.array(*[none] * (longest - 1), F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("code")))
+    seed = F.array(F.struct(F.lit(0.0).alias("w"), F.lit(0).alias("code")))
 
     def position(acc, ends):
         return F.array_append(acc, F.array_max(F.transform(ends, lambda e: F.struct((F.get(acc, e["at"])["w"] + e["w"]).alias("w"), e["code"].alias("code")))))
 
+    def last(done):
+        return F.slice(done, F.greatest(F.lit(-longest), -F.size(done)), longest)
+
     def block(done, ends):
-        return F.array_append(done, F.aggregate(ends, F.slice(F.element_at(done, -1), -longest, longest), position))
+        return F.array_append(done, F.aggregate(ends, last(F.element_at(done, -1)), position))
 
     whole = F.aggregate(blocks, F.array(seed), block)
-    return F.flatten(F.transform(whole, lambda b: F.slice(b, longest + 1, BLOCK)))["code"]
+    parts = F.transform(whole, lambda b, i: F.slice(b, F.when(i <= 1, 2).otherwise(longest + 1), BLOCK))
+    short = F.slice(F.aggregate(F.get(blocks, 0), seed, position), 2, BLOCK)
+    return F.when(F.size(blocks) == 1, short).otherwise(F.flatten(parts))["code"]
 
 
 class AllIds:
@@ -392,16 +491,15 @@ class HotUnits:
 
 
 def _lattice(cut: DataFrame, pieces: Pieces, passed: T.StructType) -> DataFrame:
-    """(no, back, and the columns ``passed``) of rows (no, windows, and those)."""
+    """(no, back, and the columns ``passed``) of rows (no, window, and those); the last of them is ``doc``."""
     names = passed.fieldNames()
-    starts = cut.select("no", F.posexplode_outer("windows").alias("start", "window"), *names)
-    subs = starts.select("no", "start", "window", F.explode_outer(F.sequence(F.lit(1), F.length("window"))).alias("len"), *names)
-    subs = subs.select("no", (F.col("start").cast("long") * (1 << _AT) + F.col("len")).alias("at"), F.expr("left(window, len)").alias("sub"), *names)
+    subs = cut.select("no", "window", F.explode_outer(F.sequence(F.lit(1), F.length("window"))).alias("len"), *names)
+    subs = subs.select("no", "len", F.expr("left(window, len)").alias("sub"), *names)
     table = piece_table(cut.sparkSession, pieces)
-    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter(f"no < 0 or (at & {_LONGEST}) = 1 or id is not null")
-    edges = edges.select("no", "at", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), *names)
+    edges = subs.join(F.broadcast(table), F.col("sub") == F.col("piece"), "left").filter("no < 0 or len = 1 or id is not null")
+    edges = edges.select("no", "len", F.coalesce("id", -1 - F.ascii("sub")).alias("id"), *names)
     edge, longest, scores, unknown = "array<array<array<struct<at: int, w: double, code: int>>>>", pieces.longest, np.array(pieces.scores), pieces.unknown_score
-    grouped = edges.mapInArrow(lambda batches: _group_task(batches, longest, scores, unknown), T.StructType(list(ddl(f"no int, blocks {edge}").fields) + list(passed.fields)))
+    grouped = edges.mapInArrow(_released(lambda batches: _group_task(batches, longest, scores, unknown)), T.StructType(list(ddl(f"no int, blocks {edge}").fields) + list(passed.fields)))
     return grouped.select("no", fold_viterbi(F.col("blocks"), pieces.longest).alias("back"), *names)
 
 
@@ -424,20 +522,19 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
                 seen = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["unit", "n"])
 
-    best = text.mapInArrow(count, ddl("unit string, n long")).groupBy("unit").agg(F.sum("n").alias("n")).filter(f"n > 1 and length(unit) <= {BLOCK}").orderBy(F.desc("n"), "unit").limit(units)
+    best = text.mapInArrow(_released(count), ddl("unit string, n long")).groupBy("unit").agg(F.sum("n").alias("n")).filter(f"n > 1 and length(unit) <= {BLOCK}").orderBy(F.desc("n"), "unit").limit(units)
     chosen = best.select("unit").toArrow()["unit"].combine_chunks()
     shared = spark.sparkContext.broadcast(chosen)
 
     def rows_of(batches):
-        windows = load_pieces(model).windows
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                some = batch.column(0).slice(at, 2000)
-                units = shared.value.take(some).to_pylist()
-                yield pa.RecordBatch.from_arrays([some.cast(pa.int32()), pa.array([windows(u) for u in units], pa.list_(pa.string()))], ["no", "windows"])
+            if batch.num_rows:
+                some = batch.column(0)
+                for columns in _unit_rows(shared.value.take(some).to_pylist(), some[0].as_py(), load_pieces(model)):
+                    yield pa.RecordBatch.from_arrays(list(columns), ["no", "window", "doc"])
 
-    cut = spark.range(0, len(chosen), 1, max(1, len(chosen) // 10_000)).mapInArrow(rows_of, ddl("no int, windows array<string>"))
-    done = _lattice(cut, pieces, T.StructType([])).select("no", "back").toArrow().sort_by("no").combine_chunks()
+    cut = spark.range(0, len(chosen), 1, max(1, len(chosen) // 10_000)).mapInArrow(_released(rows_of), ddl(f"{_CUT}, {_PASS}"))
+    done = _lattice(cut, pieces, ddl(_PASS)).select("no", "back").toArrow().sort_by("no").combine_chunks()
     ids, ends = array("i"), array("q", [0])
     for part in done.to_batches(max_chunksize=10_000):
         for _, own in _last_pieces(part.column(0), part.column(1), pieces):
@@ -446,7 +543,7 @@ def hot_units(df: DataFrame, model: str, text_col: str = "text", units: int = HO
     if len(ends) != len(chosen) + 1:
         raise RuntimeError("units were lost")
     del done
-    pa.default_memory_pool().release_unused()
+    release()
     return HotUnits(shared, np.array(ids, np.int32), np.array(ends, np.int64))
 
 
@@ -468,8 +565,8 @@ def encode(df: DataFrame, model: str, keep: list[str], text_col: str = "text", f
     coded = df.sparkSession.sparkContext.broadcast((hot.ids, hot.ends))
     source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
     passed = T.StructType(list(own.fields) + list(ddl(_PASS).fields))
-    cut = source.mapInArrow(_cut_task(model, own, hot.units), T.StructType(list(ddl("no int, windows array<string>").fields) + list(passed.fields)))
-    out = _lattice(cut, pieces, passed).mapInArrow(_join_task(model, own, coded, finish), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
+    cut = source.mapInArrow(_released(_cut_task(model, own, hot.units)), T.StructType(list(ddl(_CUT).fields) + list(passed.fields)))
+    out = _lattice(cut, pieces, passed).mapInArrow(_released(_join_task(model, own, coded, finish)), T.StructType(list(own.fields) + list(ddl(finish.schema).fields)))
     return out.toDF(*keep, *finish.names)
 
 

@@ -1,6 +1,7 @@
 """Each operator against brute force, a library or a round trip, with awkward rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -502,6 +503,40 @@ def test_pieces(docs, monkeypatch, chunk):
     assert piece_lattice.encode(none(docs), model, ["doc_id"]).count() == 0
 
 
+def exploded(df) -> int:
+    """Rows that the plan of ``df``, which was collected, exploded."""
+
+    def visit(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return visit(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return visit(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if kind == "GenerateExec" else 0
+        return own + sum(visit(node.children().apply(i)) for i in range(node.children().size()))
+
+    return visit(df._jdf.queryExecution().executedPlan())
+
+
+def test_pieces_of_many_rare_words(spark):
+    rng, parts = random.Random(5), ["the", "ion", "ä", "cióne", "ver", "ß", "zu", "qu"]
+    words = [" ".join("".join(rng.choices(parts, k=6)) for _ in range(50)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1)
+    got, lib = piece_lattice.encode(df, tokenizer_path("piece_bpe_32k.model"), ["doc_id"]), unigram()
+    assert {r.doc_id: r.ids for r in got.collect()} == {i: lib.encode(t) for i, t in enumerate(words)}
+    assert 0 < exploded(got) < sum(map(len, words)) / 2  # a chunk's words share their substrings
+
+
+def test_pieces_of_long_words_and_large_numbers(spark):
+    text = "".join(random.Random(7).choices("theiongß", k=3000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, "x" * 256), (4, "y" * 257 + " z")], "doc_id long, text string")
+    lib = unigram()
+    for r in piece_lattice.encode(df, tokenizer_path("piece_bpe_32k.model"), ["doc_id", "text"]).collect():
+        assert r.ids == lib.encode(r.text or "")
+    refs = np.array([0, 70_000, 65_534, 65_535, 3, 65_536], np.int32)
+    assert piece_lattice._unpacked(b"??" + piece_lattice._packed(refs), 2, len(refs)).tolist() == refs.tolist()
+
+
 def test_quality(spark, docs):
     rng = np.random.default_rng(2)
     rows, labels = [], []
