@@ -13,7 +13,10 @@ of its links instead of all of them, so hot groups stay small and no link is los
 Fingerprints within the distance come first, and each of their links is verified by
 its texts. As similar texts may differ in more bits than any table of keys can serve
 (0.8: 10 of 64 on average), pairs that meet under a key of least shingle hashes are
-verified, too, until no two groups share an untested one.
+verified, too, until no two groups share an untested one. Edited copies of one text can
+all meet under a key while few are similar enough, so pairs are first held against an
+upper bound of their similarity, from how many hashes each set has in each of some ranges:
+a pair beyond it is no link, whatever its texts, and only the others' texts are read.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SEED, SHINGLE, DISTANCE = 42, 4, 4
 SIMILAR_SHINGLE, SIMILARITY, WIDE = 5, 0.8, 24
 #: Keys of least hashes and hashes in a key: at 0.8, one pair in 300,000 shares none.
 BANDS, WIDTH = 32, 5
+#: Ranges of hashes whose numbers bound a pair's similarity, a byte each; pairs bounded at once.
+RANGES, AT_ONCE = 256, 16_384
 #: Widths of the blocks, blocks in a key: 7 blocks less 4 differing bits leave 3.
 BLOCKS, SHARED = (10, 9, 9, 9, 9, 9, 9), 3
 #: Runs of up to this many nodes are compared all at once, longer ones by pivot windows.
@@ -106,17 +111,37 @@ def _mixers() -> tuple[np.ndarray, np.ndarray]:
     return a | np.uint64(1), b
 
 
-def sketch(text: str | None, size: int = SIMILAR_SHINGLE) -> tuple[int, int, list[int]]:
-    """Fingerprint and checksum of a text's set of shingles, and its keys of least hashes."""
+def range_counts(own: np.ndarray) -> bytes:
+    """How many of a set's hashes are in each range; only zeros if a number takes more than a byte."""
+    n = np.bincount((own >> np.uint64(56)).astype(np.intp), minlength=RANGES)
+    return n.astype(np.uint8).tobytes() if n.max() <= 255 else bytes(RANGES)
+
+
+def may_be_similar(counts: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of sets can reach ``similarity``, by rows of :func:`range_counts` and their sums.
+
+    Two sets share no more of a range than the lesser of their numbers in it, so no pair
+    that reaches it is left out; sets whose numbers aren't known may be similar to any.
+    """
+    ok = np.zeros(len(i), bool)
+    for at in range(0, len(i), AT_ONCE):
+        a, b = i[at : at + AT_ONCE], j[at : at + AT_ONCE]
+        most = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
+        ok[at : at + AT_ONCE] = (most >= similarity * (sizes[a] + sizes[b] - most)) | (sizes[a] == 0) | (sizes[b] == 0)
+    return ok
+
+
+def sketch(text: str | None, size: int = SIMILAR_SHINGLE) -> tuple[int, int, list[int], bytes]:
+    """Fingerprint and checksum of a text's set of shingles, its keys of least hashes, and its :func:`range_counts`."""
     own = shingle_set(text, size)
     if not len(own):
-        return 0, 0, []
+        return 0, 0, [], b""
     a, b = _mixers()
     least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(own), 2048):
         least = np.minimum(least, (own[at : at + 2048, None] * a + b).min(axis=0))
     keys = [xxhash.xxh64_intdigest(k.tobytes(), i) - (1 << 63) for i, k in enumerate(least.reshape(BANDS, WIDTH))]
-    return majority([own]), xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), keys
+    return majority([own]), xxhash.xxh64_intdigest(own.tobytes(), SEED) - (1 << 63), keys, range_counts(own)
 
 
 def pivot_table(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
@@ -297,30 +322,39 @@ def _shared_keys(batches):
         yield held
 
 
-def untested_pairs(node: np.ndarray, fp: np.ndarray, root: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of one key's nodes with different roots, within ``WIDE`` bits: for each node that
-    isn't of the commonest root the ``limit`` nearest. Also whether that left any out.
+def untested_pairs(node: np.ndarray, fp: np.ndarray, root: np.ndarray, limit: int, counts: np.ndarray | None = None, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one key's nodes with different roots, within ``WIDE`` bits, that ``counts`` (if
+    given) let reach ``similarity``: for each node that isn't of the commonest root the
+    ``limit`` nearest. Also whether that left any out.
 
     A run that would take over 100 million comparisons has, while ``limit`` is small, each node
     compared with its neighbours in fingerprint order and with the first node alone; that
     joins what is alike, and what isn't yet joined is compared with all later.
     """
-    _, kind, counts = np.unique(root, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(kind != counts.argmax())
+    _, kind, many = np.unique(root, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(kind != many.argmax())
     if not len(rest):
         return node[:0], node[:0], False
+    sizes = None if counts is None else counts.sum(axis=1, dtype=np.int64)
     if len(rest) * len(node) > 100_000_000 and limit < 1000:
         order = np.lexsort((fp, pivot_table(fp, PIVOTS[:1])[:, 0]))
         i = np.concatenate([order[lag:] for lag in range(1, 5)] + [order[1:]])
         j = np.concatenate([order[:-lag] for lag in range(1, 5)] + [np.full(len(order) - 1, order[0])])
         ok = (kind[i] != kind[j]) & (np.bitwise_count(fp[i] ^ fp[j]) <= WIDE)
-        return node[i[ok]], node[j[ok]], True
+        i, j = i[ok], j[ok]
+        if counts is not None:
+            ok = may_be_similar(counts, sizes, i, j, similarity)
+            i, j = i[ok], j[ok]
+        return node[i], node[j], True
     left, right, more = [], [], False
     for a in range(0, len(rest), 64):
         own, found = rest[a : a + 64], []
         for c in range(0, len(node), 1 << 16):
             d = np.bitwise_count(fp[own, None] ^ fp[None, c : c + (1 << 16)])
             x, y = np.nonzero((d <= WIDE) & (kind[own, None] != kind[None, c : c + (1 << 16)]))
+            if counts is not None:
+                ok = may_be_similar(counts, sizes, own[x], y + c, similarity)
+                x, y = x[ok], y[ok]
             found.append((x, y + c, d[x, y]))
         x, y, d = (np.concatenate(v) for v in zip(*found, strict=True))
         order = np.lexsort((y, d, x))
@@ -332,8 +366,8 @@ def untested_pairs(node: np.ndarray, fp: np.ndarray, root: np.ndarray, limit: in
     return np.concatenate(left), np.concatenate(right), more
 
 
-def _pairs_task(limit: int):
-    """Over rows (key, node, fp, root) sorted by key: untested pairs, and one of -1 if some were left out."""
+def _pairs_task(limit: int, similarity: float):
+    """Over rows (key, node, fp, root, counts) sorted by key: untested pairs, and one of -1 if some were left out."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -341,12 +375,13 @@ def _pairs_task(limit: int):
         def flush(last: bool):
             rows = pa.Table.from_batches(held).combine_chunks()
             keys, node, fp, root = (rows.column(i).to_numpy() for i in range(4))
+            counts = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, RANGES)
             cut = len(keys) if last else int(np.searchsorted(keys, keys[-1], "left"))
             held[:] = rows.slice(cut).to_batches()
             if not cut:
                 return
             starts = np.flatnonzero(np.concatenate([[True], keys[1:cut] != keys[: cut - 1]]))
-            got = [untested_pairs(node[s:e], fp[s:e].view(np.uint64), root[s:e], limit) for s, e in zip(starts, [*starts[1:], cut], strict=True)]
+            got = [untested_pairs(node[s:e], fp[s:e].view(np.uint64), root[s:e], limit, counts[s:e], similarity) for s, e in zip(starts, [*starts[1:], cut], strict=True)]
             a, b = (np.concatenate([g[k] for g in got]) for k in (0, 1))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             if any(g[2] for g in got):
@@ -356,7 +391,7 @@ def _pairs_task(limit: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                if sum(b.num_rows for b in held) >= 100_000 and batch.column(0)[-1] != held[0].column(0)[0]:
+                if sum(b.num_rows for b in held) >= 20_000 and batch.column(0)[-1] != held[0].column(0)[0]:
                     yield from flush(False)
         if held:
             yield from flush(True)
@@ -399,17 +434,18 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, size: int = SI
     more; rows without a word, null texts among them, are alike. Rows with the same set are
     one node. Every link is verified by whole texts; a pair is missed only if its fingerprints
     differ in over ``WIDE`` bits or it shares none of ``BANDS`` keys (see there). Of a hot key
-    one task holds 24 bytes a node. An empty table gives an empty table.
+    one task holds 32 + ``RANGES`` bytes a node. An empty table gives an empty table.
     """
 
     def prints(texts):
         got = [sketch(t, size) for t in texts]
-        return np.array([g[0] for g in got], np.uint64).view(np.int64), [g[1] for g in got], [g[2] for g in got]
+        return np.array([g[0] for g in got], np.uint64).view(np.int64), *([g[k] for g in got] for k in (1, 2, 3))
 
-    seen = materialise(map_rows(rows, ["at"], ["text"], "fp long, content long, keys array<long>", lambda: prints), "sketches")
+    seen = materialise(map_rows(rows, ["at"], ["text"], "fp long, content long, keys array<long>, counts binary", lambda: prints), "sketches")
     nodes = materialise(seen.groupBy("fp", "content").agg(F.min("at").alias("node"), F.any_value("keys").alias("keys")), "nodes")
     spread = nodes.select(F.explode("keys").alias("key"), "node", "fp").repartition("key").sortWithinPartitions("key")
-    shared = materialise(spread.mapInArrow(_shared_keys, ddl("key long, node long, fp long")), "shared")
+    shared = spread.mapInArrow(_shared_keys, ddl("key long, node long, fp long"))
+    shared = materialise(shared.join(seen.select(F.col("at").alias("node"), "counts"), "node"), "shared")
 
     # Operator 8 itself: fingerprints within the distance, then those that are equal.
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("first"))
@@ -420,8 +456,8 @@ def similar_rows(rows: DataFrame, similarity: float = SIMILARITY, size: int = SI
     links, limit = materialise(verified(tested, rows, similarity, size), "verified"), 4
     while True:
         roots = materialise(components(links), "roots")
-        known = shared.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
-        pairs = known.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_task(limit), ddl("a long, b long")).distinct()
+        known = shared.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"), "counts")
+        pairs = known.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_task(limit, similarity), ddl("a long, b long")).distinct()
         pairs = materialise(pairs, "pairs")
         new = materialise(pairs.filter("a >= 0").join(tested, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():

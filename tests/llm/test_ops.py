@@ -447,6 +447,38 @@ def test_similar_rows(spark):
     assert simhash.similar_rows(rows.filter("false")).count() == 0
 
 
+def test_texts_of_pairs_that_cannot_be_similar_are_not_read(spark, monkeypatch):
+    rng, own, tested = np.random.default_rng(5), simhash.verified, []
+    base = [f"w{rng.integers(4000)}" for _ in range(300)]
+    some = [" ".join(edited(rng, base, 0.028)) for _ in range(50)]  # 1,225 pairs of about 0.6
+    some += [x + " and more" for x in some[:5]]
+
+    def counted(pairs, *more):
+        tested.append(pairs.count())
+        return own(pairs, *more)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    got = {r["at"]: r.root for r in simhash.similar_rows(spark.createDataFrame(list(enumerate(some)), "at long, text string")).collect()}
+    assert got == dict(enumerate(brute_similar(some)))
+    assert sum(tested) < 200
+
+
+def test_no_similar_pair_is_beyond_its_bound():
+    rng, sets = np.random.default_rng(6), []
+    for n in (1, 2, 5, 40, 400, 5000, 70_000):
+        base = rng.integers(0, 1 << 64, n, np.uint64)
+        for share in (0, 0.05, 0.1, 0.11, 0.12, 0.2, 0.5):
+            sets.append(np.unique(np.where(rng.random(n) < share, rng.integers(0, 1 << 64, n, np.uint64), base)))
+    counts = np.frombuffer(b"".join(map(simhash.range_counts, sets)), np.uint8).reshape(len(sets), -1)
+    assert counts.any(axis=1).tolist() == [len(s) < 70_000 - 7 for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+    sizes = np.array([len(s) for s in sets])
+    similar = both >= 0.8 * (sizes[i] + sizes[j] - both)
+    may = simhash.may_be_similar(counts, counts.sum(axis=1, dtype=np.int64), i, j, 0.8)
+    assert similar.sum() > 30 and may[similar].all() and (~may).sum() > 300
+
+
 def test_untested_pairs_are_all_found_in_the_end():
     rng = np.random.default_rng(8)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
