@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from typing import TextIO
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import literal_escape, pascal_case, prefixes
 
+#: Nodes of a partition of the stub's text, which the driver holds one at a time.
+NODES = 50_000
+#: Sorts behind every part of a key.
+END = "\U0010ffff"
+
 
 def last_messages(entries: DataFrame) -> DataFrame:
     """(key, args, translation): of a repeated key the last by (file, position); only messages with a value."""
@@ -31,36 +39,12 @@ def prefix_tree(messages: DataFrame) -> DataFrame:
     return tree.select("path", F.slice("path", 1, F.size("path") - 1).alias("parent"), name.alias("name"), F.size("path").alias("depth"), "has_meta", "has_children", "meta.args", "meta.translation", F.concat(F.lit("__"), pascal_case(name)).alias("class_name"), F.concat(F.lit("'"), literal_escape(F.col("meta.translation")), F.lit("'")).alias("literal"))
 
 
-def _children(rows: list) -> dict[tuple, list]:
-    out: dict[tuple, list] = {}
-    for r in rows:
-        out.setdefault(tuple(r.parent), []).append(r)
-    for group in out.values():
-        group.sort(key=lambda r: r.name.encode())
-    return out
-
-
 def _method(name: str, args: str, result: str, pad: str, marks: tuple[str, ...] = (), word: str = "def") -> list[str]:
     return [*(f"{pad}@{m}" for m in marks), f"{pad}{word} {name}({args}) -> {result}:", f"{pad}    ...", ""]
 
 
-def _body(children: dict[tuple, list], path: tuple, depth: int) -> list[str]:
-    pad, own = "    " * depth, children.get(path, [])
-    if not own:
-        return [f"{pad}pass"]
-    out = [""]
-    for r in own:
-        if r.has_meta:
-            args = "".join(f"{a}: Any, " for a in r.args)
-            marks = ("staticmethod", "overload") if r.has_children else ("staticmethod",)
-            out += _method(r.name, ("*, " if args else "") + args + "**kwargs: Any", f"Literal[{r.literal}]", pad, marks)
-        if r.has_children:
-            out += [f"{pad}class {r.class_name}:", *_body(children, (*path, r.name), depth + 1), f"{pad}{r.name} = {r.class_name}"]
-    return out
-
-
-def stub_text(rows: list, proxy_module: str = "aiogram_i18n") -> str:
-    """A stub module. ``rows`` is the tree on the driver: one module is what a type checker reads."""
+def stub_head(empty: bool, proxy_module: str = "aiogram_i18n") -> str:
+    """What a stub module has before its messages, or all of it if there are none."""
     any_kw, pad = "**kwargs: Any", "    "
     imports = [("collections.abc", "Generator"), ("contextlib", "contextmanager"), ("typing", "Any, Literal, overload"), (proxy_module, "LazyProxy")]
     out = ["# mypy: ignore-errors", "# This is auto-generated file, do not edit!", *(f"from {m} import {n}" for m, n in imports), ""]
@@ -73,19 +57,66 @@ def stub_text(rows: list, proxy_module: str = "aiogram_i18n") -> str:
     out += ["class I18nContext(I18nStub):", "", *sum(context, [])]
     factory = [_method("set_separator", "self, key_separator: str", "None", pad), _method("__call__", "self, key: str, /, **kwargs: dict[str, Any]", "LazyProxy", pad)]
     out += ["class LazyFactory(I18nStub):", f"{pad}key_separator: str", "", *sum(factory, [])]
-    out += ["L: LazyFactory", "", "class I18nStub:", "", *_body(_children(rows), (), 1)]
+    out += ["L: LazyFactory", "", "class I18nStub:", "", f"{pad}pass" if empty else ""]
     return "\n".join(out) + "\n"
 
 
-def tree_json(rows: list) -> str:
-    """The tree as JSON: messages under "$_meta$"."""
-    children = _children(rows)
+def _opened(path, has_meta: bool, has_children: bool, args, translation: str | None, class_name: str, literal: str | None) -> tuple[list[str], str]:
+    """Lines of the stub, and JSON without the comma before it, where a node begins."""
+    pad, inner, lines = "    " * len(path), "  " * (len(path) + 1), []
+    tree = f"\n{'  ' * len(path)}{json.dumps(path[-1], ensure_ascii=False)}: {{"
+    if has_meta:
+        typed = "".join(f"{a}: Any, " for a in args)
+        marks = ("staticmethod", "overload") if has_children else ("staticmethod",)
+        lines += _method(path[-1], ("*, " if typed else "") + typed + "**kwargs: Any", f"Literal[{literal}]", pad, marks)
+        tree += f'\n{inner}"$_meta$": ' + json.dumps({"args": list(args), "translation": translation}, indent=2, ensure_ascii=False).replace("\n", f"\n{inner}")
+    return (lines + [f"{pad}class {class_name}:", ""], tree) if has_children else (lines, tree + f"\n{'  ' * len(path)}}}")
+
 
-    def node(path: tuple) -> dict:
-        out = {}
-        for r in children.get(path, []):
-            below = node((*path, r.name)) if r.has_children else {}
-            out[r.name] = ({"$_meta$": {"args": list(r.args), "translation": r.translation}} if r.has_meta else {}) | below
-        return out
+def texts(tree: DataFrame) -> DataFrame:
+    """(stub, tree, continues, opens): pieces of the stub's messages and of the tree's JSON, in order.
 
-    return json.dumps(node(()), indent=2, ensure_ascii=False)
+    A node's text is where it begins, and for one with children also where it ends, behind all of
+    them. Sorted by path that is the order of the text, so the tree is cut into ranges, each a
+    partition of bounded size. Whether a comma belongs before a piece is seen from the one before:
+    ``continues`` says that it begins with a node, ``opens`` that it ends where a first child would follow.
+    """
+    n = 1 + tree.count() // NODES
+    ends = F.concat("path", F.array(F.lit(END)))
+    events = tree.withColumn("at", F.explode(F.when(F.col("has_children"), F.array("path", ends)).otherwise(F.array("path"))))
+    events = events.select("at", F.when(F.col("at") == F.col("path"), F.col("has_meta")).alias("has_meta"), "has_children", "args", "translation", "class_name", "literal")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines, json_text, begins, opens = [], [], [], True
+            for path, has_meta, *rest in frame.itertuples(index=False, name=None):
+                begins.append(has_meta is not None)
+                if has_meta is not None:
+                    own, text = _opened(path, has_meta, *rest)
+                    lines += own
+                    json_text.append(text if opens else "," + text)
+                    opens = bool(rest[0]) and not has_meta
+                else:
+                    lines.append(f"{'    ' * (len(path) - 1)}{path[-2]} = {rest[3]}")
+                    json_text.append(f"\n{'  ' * (len(path) - 1)}}}")
+                    opens = False
+            if lines or json_text:
+                yield pd.DataFrame({"stub": ["".join(x + "\n" for x in lines)], "tree": ["".join(json_text)], "continues": begins[:1], "opens": [opens]})
+
+    return events.repartitionByRange(n, "at").sortWithinPartitions("at").mapInPandas(run, "stub string, tree string, continues boolean, opens boolean")
+
+
+def write_stub(pieces: DataFrame, stub: TextIO, tree: TextIO | None = None) -> None:
+    """Writes the module, and the tree as JSON with messages under "$_meta$", a partition of ``texts`` at a time."""
+    opens, empty = True, True
+    for r in pieces.toLocalIterator():
+        if empty:
+            stub.write(stub_head(False))
+        stub.write(r.stub)
+        if tree:
+            tree.write(("{" if empty else "") + ("," if r.continues and not opens else "") + r.tree)
+        opens, empty = r.opens, False
+    if empty:
+        stub.write(stub_head(True))
+    if tree:
+        tree.write("{}" if empty else "\n}")

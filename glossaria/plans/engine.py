@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.fluent import KINDS
 from ..functions.pyscan import ScanOptions
-from ..operators import keys, reconcile, render, stub
+from ..operators import closure, keys, reconcile, render, stub
 from ..operators import untranslated as report
 from ..sources.files import discover_locales, read_files
-from ..sources.sinks import write_files, write_text
+from ..sources.sinks import whole_file, write_files
 from ..sources.stored import code_calls, raise_on_errors, stored_entries
 from ..streaming.incremental import cache_folder, incremental_calls
 
@@ -86,9 +87,7 @@ def plan(code: DataFrame, entries: DataFrame, languages: DataFrame, cfg: Extract
 
 def extract(spark: SparkSession, cfg: ExtractConfig) -> ExtractResult:
     """Brings the catalogs of all languages up to date with the code."""
-    from ..operators.closure import _shared_folder
-
-    _shared_folder(spark)
+    closure._shared_folder(spark)
     calls, code = code_keys(spark, cfg)
     folders = [os.path.join(cfg.output_path, x) for x in cfg.languages]
     entries = _read_catalog(spark, folders).persist()
@@ -148,11 +147,12 @@ def check_untranslated(spark: SparkSession, cfg: UntranslatedConfig) -> Untransl
 
 def generate_stub(spark: SparkSession, ftl_path: str, output_path: str, export_tree: bool = False) -> DataFrame:
     """Writes a typed stub of all messages below ``ftl_path``, and the tree as JSON if asked for."""
-    entries = _read_catalog(spark, [ftl_path], ignore=False)
+    closure._shared_folder(spark)
+    entries = _read_catalog(spark, [ftl_path], ignore=False).persist()
     raise_on_errors(entries)
     tree = stub.prefix_tree(stub.last_messages(entries)).persist()
-    rows = tree.collect()
-    if export_tree:
-        write_text(os.path.splitext(output_path)[0] + ".json", stub.tree_json(rows))
-    write_text(output_path, stub.stub_text(rows))
+    pieces = stub.texts(tree).checkpoint()
+    entries.unpersist()
+    with whole_file(output_path) as out, whole_file(os.path.splitext(output_path)[0] + ".json") if export_tree else nullcontext() as json_out:
+        stub.write_stub(pieces, out, json_out)
     return tree
