@@ -394,7 +394,7 @@ def extract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for locale, most in (("en", 45), ("de", 30)):
         write_files(_in_files(part.filter(F.col("p_size") <= most), F.concat(F.lit(f"{folder}/locales/{locale}/"), own), "p_partkey", F.concat(_key(), F.lit(" = "), F.col("p_name"), variables, F.lit("\n"))))
     engine.extract(spark, engine.ExtractConfig(f"{folder}/code", f"{folder}/locales", ("en", "de")))
-    entries = stored_entries(read_files(spark, [f"{folder}/locales/{x}" for x in ("en", "de")], ".ftl"))
+    entries = stored_entries(read_files(spark, [f"{folder}/locales/{x}" for x in ("en", "de")], ".ftl", content=False))
     live = entries.filter("kind = 'message'").select("locale", F.col("rel_path").alias("file"), "key", F.lit("live").alias("state"), F.array_join("vars", ",").alias("vars"))
     lines = F.regexp_extract_all("src", F.lit(r"(?m)^# (part-[0-9]+) ="), F.lit(1))
     return live.union(entries.filter("kind = 'comment'").select("locale", "rel_path", F.explode(lines), F.lit("commented"), F.lit("")))

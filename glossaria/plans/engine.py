@@ -49,7 +49,7 @@ class ExtractResult:
 
 
 def _read_catalog(spark: SparkSession, folders: list[str], ignore: bool = True) -> DataFrame:
-    entries = stored_entries(read_files(spark, folders, ".ftl", ignore_files=(".ignore", ".gitignore") if ignore else (), hidden=not ignore))
+    entries = stored_entries(read_files(spark, folders, ".ftl", ignore_files=(".ignore", ".gitignore") if ignore else (), hidden=not ignore, content=False))
     return entries
 
 

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "root string, path string, rel_path string, size bigint, mtime_ns bigint, content binary"
-#: A task reads so many files or bytes at most.
-FILES, BYTES = 2000, 64 << 20
+#: A task reads so many files or bytes at most. Files read with their content are one batch of its Python worker.
+FILES, BYTES = 2000, 8 << 20
 
 
 def glob_regex(glob: str) -> re.Pattern:
@@ -115,6 +115,15 @@ def walk(root: str, suffix: str, ignore_files: tuple[str, ...] = (), hidden: boo
     yield from below(root, [])
 
 
+def read_content(path: str) -> bytes | None:
+    """None, if it can't be read."""
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
 class _Chunk(InputPartition):
     def __init__(self, files: list[tuple[str, str]]):
         super().__init__(0)
@@ -142,18 +151,20 @@ class _Reader(DataSourceReader):
         return [*chunks, _Chunk(files)] if files or not chunks else chunks
 
     def read(self, partition: _Chunk) -> Iterator[tuple]:
+        wanted = self.options.get("content", "true").lower() == "true"
         for root, path in partition.files:
             try:
                 s = os.stat(path)
-                with open(path, "rb") as f:
-                    content = f.read()
             except OSError:
                 continue
+            content = read_content(path) if wanted else None
+            if wanted and content is None:
+                continue
             yield root, path, os.path.relpath(path, root).replace(os.sep, "/"), s.st_size, s.st_mtime_ns, content
 
 
 class SourceFiles(DataSource):
-    """Format "srcfiles"; options roots, suffix, exclude, ignorefiles (line-separated), hidden."""
+    """Format "srcfiles"; options roots, suffix, exclude, ignorefiles (line-separated), hidden, content (false: null)."""
 
     @classmethod
     def name(cls) -> str:
@@ -166,10 +177,10 @@ class SourceFiles(DataSource):
         return _Reader(self.options)
 
 
-def read_files(spark: SparkSession, roots: list[str], suffix: str, exclude: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore",), hidden: bool = False) -> DataFrame:
-    """Files below the roots that are still there. Missing roots have no files."""
+def read_files(spark: SparkSession, roots: list[str], suffix: str, exclude: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore",), hidden: bool = False, content: bool = True) -> DataFrame:
+    """Files below the roots that are still there, with their content if asked for. Missing roots have no files."""
     spark.dataSource.register(SourceFiles)
-    options = {"roots": "\n".join(roots), "suffix": suffix, "exclude": "\n".join(exclude), "ignorefiles": "\n".join(ignore_files), "hidden": str(hidden).lower()}
+    options = {"roots": "\n".join(roots), "suffix": suffix, "exclude": "\n".join(exclude), "ignorefiles": "\n".join(ignore_files), "hidden": str(hidden).lower(), "content": str(content).lower()}
     return spark.read.format("srcfiles").options(**options).load()
 
 

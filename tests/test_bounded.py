@@ -1,10 +1,13 @@
 """Verbs whose catalogs don't fit the driver, or a Python worker."""
 
 import json
+import tracemalloc
 
 from pyspark.sql.classic.dataframe import DataFrame
 
 from glossaria.plans import engine
+from glossaria.sources.files import read_files
+from glossaria.sources.stored import entry_rows, stored_entries
 
 
 def brute_stub(messages):
@@ -52,3 +55,24 @@ def test_stub_of_nothing(spark, tmp_path):
     (tmp_path / "en").mkdir()
     engine.generate_stub(spark, str(tmp_path / "en"), str(tmp_path / "stub.pyi"), True)
     assert (tmp_path / "stub.pyi").read_text().endswith("\nclass I18nStub:\n\n    pass\n") and (tmp_path / "stub.json").read_text() == "{}"
+
+
+def test_rows_of_a_large_file_wait_on_disk():
+    text = "".join(f"part-{i} = large ring {{ $a }}\n" for i in range(30_000)).encode()
+    tracemalloc.start()
+    n = sum(1 for _ in entry_rows("en", "x", "x", text))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 30_000 and most < 40e6
+    assert [r[4] for r in entry_rows("en", "x", "x", text + b"junk\n")] == ["error"]
+
+
+def test_catalogs_are_read_by_path_in_bounded_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("glossaria.sources.stored.ROWS", 7, raising=False)
+    for name in ("a.ftl", "b/c.ftl"):
+        (tmp_path / "en" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "en" / name).write_text("".join(f"k{i} = Text {i}\n" for i in range(20)))
+    files = read_files(spark, [str(tmp_path / "en")], ".ftl", content=False)
+    assert [r.content for r in files.collect()] == [None, None]
+    got = stored_entries(files).collect()
+    assert sorted((r.locale, r.rel_path, r.position, r.key, r.text) for r in got) == [("en", n, i, f"k{i}", f"Text {i}") for n in ("a.ftl", "b/c.ftl") for i in range(20)]
