@@ -5,6 +5,7 @@ import tracemalloc
 
 from pyspark.sql.classic.dataframe import DataFrame
 
+from glossaria.operators import render
 from glossaria.plans import engine
 from glossaria.sources.files import read_files
 from glossaria.sources.stored import entry_rows, stored_entries
@@ -76,3 +77,15 @@ def test_catalogs_are_read_by_path_in_bounded_frames(spark, tmp_path, monkeypatc
     assert [r.content for r in files.collect()] == [None, None]
     got = stored_entries(files).collect()
     assert sorted((r.locale, r.rel_path, r.position, r.key, r.text) for r in got) == [("en", n, i, f"k{i}", f"Text {i}") for n in ("a.ftl", "b/c.ftl") for i in range(20)]
+
+
+def test_files_are_rendered_without_python_groups(spark):
+    rows = [
+        ("en", "a.ftl", 2, "b", "message", "b = B\n", None, False), ("en", "a.ftl", 0, None, "comment", "# Free\n\n", None, False), ("en", "a.ftl", 1, "x", "message", "# own\nx = X\n    .y = Z\n", None, True),
+        ("en", "a.ftl", 3, None, "junk", "junk\n", None, False), ("en", "a.ftl", 10, "c", "term", "-c = C\n", None, False), ("en", "a.ftl", None, "z", "message", None, ["n"], False), ("en", "a.ftl", None, "Z", "message", None, [], False),
+        ("de", "a.ftl", 0, None, "junk", "junk\n", None, False), ("de", "a.ftl", 1, None, "group_comment", "## G\n\n", None, False), ("de", "a.ftl", 2, "m", "message", "m = M\n", None, False),
+    ]
+    files = render.render_files(spark.createDataFrame(rows, "locale string, rel_path string, position int, key string, kind string, src string, kwargs array<string>, commented boolean"))
+    got = {r.locale: (r.content, r.n_messages) for r in files.collect()}
+    assert got == {"de": ("## G\n\nm = M\n", 1), "en": ("# Free\n\n\n# # own\n# x = X    .y = Z\n\nb = B\n-c = C\nZ = Z\nz = z{ $n }\n", 3)}
+    assert "FlatMapGroupsInPandas" not in files._jdf.queryExecution().toString()
